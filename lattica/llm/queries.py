@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from lattica.llm import quality, sharding, simhash, url_filter
+
+QUERIES = {
+    "op3_quality_rules": quality.query,
+    "op4_url_filter": url_filter.query,
+    "op5_feistel_shards": sharding.query,
+    "op7_simhash": simhash.query,
+}
 ORACLE_SQL = {}
