@@ -1,0 +1,77 @@
+"""Subword ids of whole texts by a public tokenizer, with a bounded cache of words."""
+
+from __future__ import annotations
+
+import os
+from functools import lru_cache
+
+import numpy as np
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+class WordIds:
+    """Ids of texts by a tokenizer that drops white space and never joins across it.
+
+    For such a tokenizer a text's ids are those of its words (parted at ASCII
+    white space) in a row, so each word is encoded once and kept. The cache has
+    two generations of ``most`` words: when the newer is full it replaces the
+    older, so what recurs stays.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.most = most
+
+    def learn(self, words: list[bytes]) -> None:
+        """Put every one of the words into the newer generation."""
+        if len(self.cache) > self.most:
+            self.cache, self.old = {}, self.cache
+        new = []
+        for w in {w for w in words if w not in self.cache}:
+            if (known := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                self.cache[w] = known
+        plain = [w for w in new if w.isalpha()]  # of ASCII letters: one unit each, so its ids run up to the next that ends a word
+        for i in range(0, len(plain), 512):
+            some = plain[i : i + 512]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            self._keep(some, ids, 4 * (np.flatnonzero(self.ends_word[ids]) + 1))
+        other = [w for w in new if not w.isalpha()]
+        for i in range(0, len(other), 512):
+            some = other[i : i + 512]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            at = np.searchsorted(starts, [a for a, _ in got.offsets], "right") - 1
+            self._keep(some, np.array(got.ids, "<u4"), 4 * np.cumsum(np.bincount(at.astype(np.int64), minlength=len(some))))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, to = ids.tobytes(), ends.tolist()
+        self.cache.update((w, data[a:b]) for w, a, b in zip(words, [0, *to[:-1]], to, strict=True))
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        got = list(map(self.cache.get, words))
+        if None in got:
+            self.learn(words)
+            got = list(map(self.cache.__getitem__, words))
+        return np.frombuffer(b"".join(got), "<u4")
+
+
+@lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker and file."""
+    return WordIds(path)
