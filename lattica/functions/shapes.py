@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import quat
@@ -25,13 +25,29 @@ def _c(*names: str) -> tuple[Column, ...]:
     return tuple(map(F.col, names))
 
 
+ROTATION = [f"m{i}{j}" for i in range(3) for j in range(3)]
+
+
+def prepared(particles: DataFrame) -> DataFrame:
+    """particles with their rotation matrix (m00..m22), worked out once; all else here reads it from there."""
+    if "m00" in particles.columns:
+        return particles
+    m = quat.matrix(quat.of())
+    return particles.select("*", *[m[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)])
+
+
+def rotation() -> tuple[V, V, V]:
+    return tuple(_c(*ROTATION[3 * i : 3 * i + 3]) for i in range(3))
+
+
 def to_local(p: V) -> V:
-    d = tuple(a - b for a, b in zip(p, _c("x", "y", "z"), strict=True))
-    return quat.rotate(quat.of(), d)
+    d = [a - b for a, b in zip(p, _c("x", "y", "z"), strict=True)]
+    return tuple(r[0] * d[0] + r[1] * d[1] + r[2] * d[2] for r in rotation())
 
 
 def to_global(p: V) -> V:
-    return tuple(a + b for a, b in zip(quat.rotate(quat.conj(quat.of()), p), _c("x", "y", "z"), strict=True))
+    m = rotation()
+    return tuple(m[0][j] * p[0] + m[1][j] * p[1] + m[2][j] * p[2] + c for j, c in enumerate(_c("x", "y", "z")))
 
 
 def superellipsoid_level(p: V) -> Column:
@@ -80,7 +96,7 @@ def reach(d: V) -> Column:
 def support(d: V) -> V:
     """The particle's point furthest along a global direction (not 0): the gradient of the support function."""
     a, b, c, e1, e2 = _c("rx", "ry", "rz", "eps1", "eps2")
-    l = quat.rotate(quat.of(), d)  # noqa: E741
+    l = [r[0] * d[0] + r[1] * d[1] + r[2] * d[2] for r in rotation()]  # noqa: E741
     u, v, w = (F.abs(x * r) for x, r in zip(l, (a, b, c), strict=True))
     p, q = 2 / (2 - e2), 2 / (2 - e1)
     flat = F.pow(F.pow(u, p) + F.pow(v, p), 1 / p)
@@ -97,7 +113,7 @@ def support(d: V) -> V:
 
 def aabb() -> Box:
     """Tight bounding box: the reach along each axis."""
-    r = quat.matrix(quat.of())
+    r = rotation()
     out = [[], []]
     for j, c in enumerate(_c("x", "y", "z")):
         h = reach(tuple(row[j] for row in r))

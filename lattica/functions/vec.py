@@ -137,7 +137,8 @@ def support(points: Column, d: Column) -> Column:
 
 
 def mean(points: Column, n: int = 3) -> Column:
-    return F.array(*[F.aggregate(points, F.lit(0.0), lambda s, p, i=i: s + F.get(p, F.lit(i))) / F.size(points) for i in range(n)])
+    part = lambda i: F.aggregate(points, F.lit(0.0), lambda s, p: s + F.get(p, F.lit(i)))
+    return F.array(*[part(i) / F.size(points) for i in range(n)])
 
 
 def standard_simplex(n: int = 3) -> Column:

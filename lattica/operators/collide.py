@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions import quat
+from lattica.functions import shapes
 from lattica.functions.box import Box
 
 MOST_STEPS = 64
@@ -17,10 +17,10 @@ MOST_STEPS = 64
 
 def may_meet(cell: Box) -> Column:
     """Separating axes of the cell and of the particle's oriented box: false only where they are apart."""
-    rows = quat.matrix(quat.of())
+    rows = shapes.rotation()
     sphere = F.col("kind") == "sphere"
     radii = [F.when(sphere, F.col("rx")).otherwise(F.col(c)) for c in ("rx", "ry", "rz")]
-    half = [s / 2 for s in cell.side]
+    half = [s / 2 * (1 + 1e-9) for s in cell.side]  # bounds are rounded; the exact test decides
     gap = [c - F.col(x) for c, x in zip(cell.center, "xyz", strict=True)]
     out = F.lit(True)
     for j in range(3):
@@ -88,12 +88,12 @@ def meet(low: np.ndarray, high: np.ndarray, f: pd.DataFrame) -> np.ndarray:
 def meeting(pairs: DataFrame) -> DataFrame:
     """Rows of pairs (a cell lx..hz and a particle's columns) that meet; spheres never leave the JVM."""
     cell = Box.of()
-    near = pairs.filter(may_meet(cell))
-    spheres = near.filter(F.col("kind") == "sphere").filter(sphere_meets(cell))
+    spheres = pairs.filter(F.col("kind") == "sphere").filter(sphere_meets(cell))
+    near = pairs.filter(F.col("kind") != "sphere").filter(may_meet(cell))
 
     def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f[meet(f[["lx", "ly", "lz"]].to_numpy(float), f[["hx", "hy", "hz"]].to_numpy(float), f)] if len(f) else f
 
-    others = near.filter(F.col("kind") != "sphere").mapInPandas(test, near.schema)
+    others = near.mapInPandas(test, near.schema)
     return spheres.unionByName(others)

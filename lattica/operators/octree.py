@@ -40,10 +40,7 @@ def children(cells: DataFrame) -> DataFrame:
 def corners_inside(root: Root) -> Column:
     """How many of the cell's corners lie in the row's particle."""
     b = root.box()
-    out = F.lit(0)
-    for n in range(8):
-        out = out + shapes.contains(b.vertex(n)).cast("int")
-    return out
+    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, n: s + shapes.contains(b.vertex(n)).cast("int"))
 
 
 def refine(particles: DataFrame, root: Root, depth: int, least_bag: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +56,7 @@ def refine(particles: DataFrame, root: Root, depth: int, least_bag: int = 1) ->
         raise ValueError(f"cells deeper than {DEEPEST} can't be addressed")
     spark = particles.sparkSession
     cells = spark.createDataFrame([(0, 0, 0, 0, 0)], "depth int, i int, j int, k int, id long")
-    bag = particles.select(*[F.lit(0).alias(c) for c in CELL], "particle_id", "kind", *shapes.COLUMNS).withColumn("nvert", corners_inside(root))
+    bag = shapes.prepared(particles).select(*[F.lit(0).alias(c) for c in CELL], "particle_id", "kind", *shapes.COLUMNS, *shapes.ROTATION).withColumn("nvert", corners_inside(root))
     done, bags = None, None
     for level in range(depth + 1):
         bag = settle(bag)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from lattica.functions import shapes
 from lattica.functions.box import Box
+from lattica.operators.ids import settle
 from lattica.sources.grids import Lattice
 
 
 def bounded(particles: DataFrame) -> DataFrame:
-    """particles with their tight bounding boxes (lx..hz), worked out once a particle."""
-    return particles.select("*", *shapes.aabb().columns())
+    """particles with their tight bounding boxes (lx..hz), worked out once a particle and written: expressions that long would else be repeated wherever a bound is used."""
+    return settle(shapes.prepared(particles).select("*", *shapes.aabb().columns()))
 
 
 def bounding_box(particles: DataFrame, empty: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
@@ -39,7 +40,8 @@ def _match(points: DataFrame, particles: DataFrame, how: str) -> DataFrame:
     """Points, as a struct __pt, joined with the particles that hold them."""
     boxes = bounded(particles)
     size = bucket_size(boxes)
-    near = buckets_of_boxes(boxes, size)
+    wide = 1e-9 * size  # bounds are rounded; the test of the level decides
+    near = buckets_of_boxes(boxes.withColumns({f"{e}{a}": F.col(f"{e}{a}") + w for e, w in (("l", -wide), ("h", wide)) for a in "xyz"}), size)
     own = points.select(F.struct("*").alias("__pt"), *[F.floor(F.col(a) / size).alias(f"__b{a}") for a in "xyz"])
     p = tuple(F.col(f"__pt.{a}") for a in "xyz")
     condition = shapes.contains(p)
