@@ -75,7 +75,7 @@ def gauss_seidel(a: DataFrame, b: DataFrame, sweeps: int = 50) -> DataFrame:
                 x[i] = (rhs[i] - dense[i] @ x + dense[i, i] * x[i]) / dense[i, i]
         return pd.DataFrame({"i": np.arange(n, dtype="int32"), "v": x})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(solve, "i int, v double")
+    return rows.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(solve, "i int, v double")
 
 
 def nelder_mead(f: Callable, start, steps: int = 25, reflect: float = 1.0, expand: float = 2.0, contract: float = 0.5, shrink: float = 0.5, stop: float | None = None):

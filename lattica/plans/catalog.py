@@ -433,7 +433,7 @@ def _corner(n: int) -> str:
     return "+".join(f"(({a}0+{n >> i & 1}*s-p.{x})*({a}0+{n >> i & 1}*s-p.{x}))" for i, (a, x) in enumerate(zip("abc", "xyz", strict=True)))
 
 
-DIST = "+".join(f"pow(greatest({a}0 - p.{x}, p.{x} - {a}0 - s, 0), 2)" for a, x in zip("abc", "xyz", strict=True))
+DIST = "+".join(f"pow(greatest({a}0 - p.{x}, p.{x} - ({a}0 + s), 0), 2)" for a, x in zip("abc", "xyz", strict=True))
 NVERT = " + ".join(f"(CASE WHEN ({_corner(n)})/(p.rx*p.rx) <= 1 THEN 1 ELSE 0 END)" for n in range(8))
 
 
