@@ -84,7 +84,7 @@ def repeated_words(windows: Column, words: int) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of counts; null where either sums to 0."""
-    share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0).cast("double"), lambda s, y: s + y))
+    share = lambda c: F.transform(c, lambda x: F.try_divide(x, F.aggregate(c, F.lit(0).cast("double"), lambda s, y: s + y)))
     term = lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
     terms = F.zip_with(share(a), share(b), lambda p, q: (term(p, q) + term(q, p)) / 2)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))

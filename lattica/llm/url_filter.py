@@ -99,7 +99,7 @@ def threshold(labelled: DataFrame, step: float = 0.02, most: int = 500) -> float
     bin_ = F.least(F.greatest(F.round(F.col("score") / step), F.lit(-most)), F.lit(most)).cast("int")
     bins = labelled.groupBy(bin_.alias("bin")).agg(F.count(F.when(F.col("allowed"), 1)).alias("a"), F.count(F.when(~F.col("allowed"), 1)).alias("r"))  # 2 most + 1 rows
     up, all_ = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    below = lambda c: F.coalesce(F.sum(c).over(up), F.lit(0)) / F.sum(c).over(all_)
+    below = lambda c: F.try_divide(F.coalesce(F.sum(c).over(up), F.lit(0)), F.sum(c).over(all_))
     best = bins.select("bin", (below("r") - below("a")).alias("gain")).orderBy(F.desc_nulls_last("gain"), F.abs("bin"), "bin").first()
     return (best["bin"] - 0.5) * step if best and best["gain"] is not None else 0.0
 
