@@ -28,7 +28,7 @@ from lattica.llm.common import HOT_SHARE, cut, lookup
 
 SHINGLES_AT_ONCE = 1 << 16
 #: A task's home tile: at most so many fingerprints, at least the other (unless there are fewer).
-MOST_HOME, LEAST_HOME = 1 << 18, 1 << 12
+MOST_HOME, LEAST_HOME = 1 << 18, 1 << 8
 HOMES = 64
 PAIRS_AT_ONCE = 1 << 18
 
