@@ -57,8 +57,8 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 KINDS = "CASE p_partkey % 4 WHEN 0 THEN 'sphere' WHEN 1 THEN 'prism' WHEN 2 THEN 'ellipsoid' ELSE 'superellipsoid' END"
-PRT = f"""raw AS (SELECT p_partkey AS particle_id, {{kind}} AS kind, 0.03 + 0.001 * (p_partkey % 7) AS rx, 0.04 + 0.001 * (p_partkey % 5) AS ry, 0.05 + 0.001 * (p_partkey % 3) AS rz,
- 0.6 + 0.01 * (p_partkey % 100) AS eps1, 0.6 + 0.01 * ((p_partkey * 7) % 100) AS eps2, p_size / 50.0 AS x, (p_retailprice - 900) / 100.0 AS y, ((p_partkey * 37) % 101) / 101.0 AS z,
+PRT = f"""raw AS (SELECT p_partkey AS particle_id, {{kind}} AS kind, 0.03::DOUBLE + 0.001::DOUBLE * (p_partkey % 7) AS rx, 0.04::DOUBLE + 0.001::DOUBLE * (p_partkey % 5) AS ry, 0.05::DOUBLE + 0.001::DOUBLE * (p_partkey % 3) AS rz,
+ 0.6::DOUBLE + 0.01::DOUBLE * (p_partkey % 100) AS eps1, 0.6::DOUBLE + 0.01::DOUBLE * ((p_partkey * 7) % 100) AS eps2, p_size / 50.0::DOUBLE AS x, (p_retailprice - 900) / 100.0::DOUBLE AS y, ((p_partkey * 37) % 101) / 101.0::DOUBLE AS z,
  (1 + p_partkey % 3)::DOUBLE AS a0, (p_partkey % 5)::DOUBLE AS a1, (p_partkey % 7)::DOUBLE AS a2, (p_partkey % 11)::DOUBLE AS a3 FROM part),
 unit AS (SELECT *, sqrt(a0*a0 + a1*a1 + a2*a2 + a3*a3) AS n FROM raw),
 pq AS (SELECT particle_id, kind, rx::DOUBLE AS rx, ry::DOUBLE AS ry, rz::DOUBLE AS rz, eps1::DOUBLE AS eps1, eps2::DOUBLE AS eps2, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, a0/n AS q0, a1/n AS q1, a2/n AS q2, a3/n AS q3 FROM unit),
