@@ -8,6 +8,7 @@ rounded to six places so that the last bits of library functions don't count.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,9 +114,6 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", v.alias("a"), F.reverse(v).alias("b"))
 
 
-A, B = F.col("a"), F.col("b")
-
-
 def rounded(c: Column) -> Column:
     return F.transform(c, rnd)
 
@@ -128,25 +126,25 @@ def zipped(expr: str) -> str:
     return f"list_transform(list_zip(a, b), lambda t: {expr})"
 
 
-def _vector(name: str, sparks: dict[str, Column], sqls: dict[str, str]) -> None:
+def _vector(name: str, sparks: Callable[[Column, Column], dict[str, Column]], sqls: dict[str, str]) -> None:
     sql = f"WITH {EMB} SELECT vec_id, {', '.join(f'{s} AS {n}' for n, s in sqls.items())} FROM e"
-    query(name, sql)(lambda spark, d: vectors(spark, d).select("vec_id", *[c.alias(n) for n, c in sparks.items()]))
+    query(name, sql)(lambda spark, d: vectors(spark, d).select("vec_id", *[c.alias(n) for n, c in sparks(F.col("a"), F.col("b")).items()]))
 
 
 SUM = "list_sum"
-_vector("vec_add", {"v": rounded(vec.add(A, B))}, {"v": rl(zipped("t[1] + t[2]"))})
-_vector("vec_sub", {"v": rounded(vec.sub(A, B))}, {"v": rl(zipped("t[1] - t[2]"))})
-_vector("vec_mul", {"v": rounded(vec.mul(A, B))}, {"v": rl(zipped("t[1] * t[2]"))})
-_vector("vec_div", {"v": F.transform(vec.div(A, B), lambda x: F.round(x, 4))}, {"v": f"list_transform({zipped('t[1] / nullif(t[2], 0)')}, lambda x: round(x, 4) + 0.0)"})
-_vector("vec_scale_neg", {"s": rounded(vec.scale(A, 2.5)), "n": rounded(vec.neg(A))}, {"s": rl("list_transform(a, lambda x: x * 2.5)"), "n": rl("list_transform(a, lambda x: -x)")})
-_vector("vec_dot", {"dot": rnd(vec.dot(A, B)), "total": rnd(vec.total(A))}, {"dot": r(f"{SUM}({zipped('t[1] * t[2]')})"), "total": r("list_sum(a)")})
-_vector("vec_norms", {"n2": rnd(vec.norm2(A)), "n": rnd(vec.norm(A)), "inf": rnd(vec.infnorm(A))}, {"n2": r("list_sum(list_transform(a, lambda x: x*x))"), "n": r("sqrt(list_sum(list_transform(a, lambda x: x*x)))"), "inf": r("list_max(list_transform(a, lambda x: abs(x)))")})
-_vector("vec_dist", {"d2": rnd(vec.dist2(A, B)), "d": rnd(vec.dist(A, B)), "inf": rnd(vec.dist_inf(A, B))}, {"d2": r(f"list_sum({zipped('(t[1]-t[2])*(t[1]-t[2])')})"), "d": r(f"sqrt(list_sum({zipped('(t[1]-t[2])*(t[1]-t[2])')}))"), "inf": r(f"list_max({zipped('abs(t[1]-t[2])')})")})
-_vector("vec_minmax_idx", {"hi": rnd(F.array_max(A)), "lo": rnd(F.array_min(A)), "at_hi": vec.argmax(A), "at_lo": vec.argmin(A), "len": F.size(A)}, {"hi": r("list_max(a)"), "lo": r("list_min(a)"), "at_hi": "(list_position(a, list_max(a)) - 1)::INTEGER", "at_lo": "(list_position(a, list_min(a)) - 1)::INTEGER", "len": "len(a)::INTEGER"})
-_vector("vec_normalize", {"v": rounded(vec.normalize(A))}, {"v": rl("list_transform(a, lambda x: x / sqrt(list_sum(list_transform(a, lambda y: y*y))))")})
-_vector("vec_cross", {"v": rounded(vec.cross(A, B))}, {"v": rl("[a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]]")})
-_vector("vec_elminmax", {"lo": rounded(vec.el_min(A, B)), "hi": rounded(vec.el_max(A, B))}, {"lo": rl(zipped("least(t[1], t[2])")), "hi": rl(zipped("greatest(t[1], t[2])"))})
-_vector("vec_cone_cmp", {"below": vec.lt(A, vec.add(A, vec.fill(1, 64))), "less": vec.lt(F.slice(A, 1, 3), F.slice(B, 1, 3)), "at_least": vec.ge(F.slice(A, 1, 2), F.slice(B, 1, 2)), "same": vec.eq(A, B)}, {"below": "true", "less": "a[1]<b[1] AND a[2]<b[2] AND a[3]<b[3]", "at_least": "a[1]>=b[1] AND a[2]>=b[2]", "same": "a = b"})
+_vector("vec_add", lambda A, B: {"v": rounded(vec.add(A, B))}, {"v": rl(zipped("t[1] + t[2]"))})
+_vector("vec_sub", lambda A, B: {"v": rounded(vec.sub(A, B))}, {"v": rl(zipped("t[1] - t[2]"))})
+_vector("vec_mul", lambda A, B: {"v": rounded(vec.mul(A, B))}, {"v": rl(zipped("t[1] * t[2]"))})
+_vector("vec_div", lambda A, B: {"v": F.transform(vec.div(A, B), lambda x: F.round(x, 4))}, {"v": f"list_transform({zipped('t[1] / nullif(t[2], 0)')}, lambda x: round(x, 4) + 0.0)"})
+_vector("vec_scale_neg", lambda A, B: {"s": rounded(vec.scale(A, 2.5)), "n": rounded(vec.neg(A))}, {"s": rl("list_transform(a, lambda x: x * 2.5)"), "n": rl("list_transform(a, lambda x: -x)")})
+_vector("vec_dot", lambda A, B: {"dot": rnd(vec.dot(A, B)), "total": rnd(vec.total(A))}, {"dot": r(f"{SUM}({zipped('t[1] * t[2]')})"), "total": r("list_sum(a)")})
+_vector("vec_norms", lambda A, B: {"n2": rnd(vec.norm2(A)), "n": rnd(vec.norm(A)), "inf": rnd(vec.infnorm(A))}, {"n2": r("list_sum(list_transform(a, lambda x: x*x))"), "n": r("sqrt(list_sum(list_transform(a, lambda x: x*x)))"), "inf": r("list_max(list_transform(a, lambda x: abs(x)))")})
+_vector("vec_dist", lambda A, B: {"d2": rnd(vec.dist2(A, B)), "d": rnd(vec.dist(A, B)), "inf": rnd(vec.dist_inf(A, B))}, {"d2": r(f"list_sum({zipped('(t[1]-t[2])*(t[1]-t[2])')})"), "d": r(f"sqrt(list_sum({zipped('(t[1]-t[2])*(t[1]-t[2])')}))"), "inf": r(f"list_max({zipped('abs(t[1]-t[2])')})")})
+_vector("vec_minmax_idx", lambda A, B: {"hi": rnd(F.array_max(A)), "lo": rnd(F.array_min(A)), "at_hi": vec.argmax(A), "at_lo": vec.argmin(A), "len": F.size(A)}, {"hi": r("list_max(a)"), "lo": r("list_min(a)"), "at_hi": "(list_position(a, list_max(a)) - 1)::INTEGER", "at_lo": "(list_position(a, list_min(a)) - 1)::INTEGER", "len": "len(a)::INTEGER"})
+_vector("vec_normalize", lambda A, B: {"v": rounded(vec.normalize(A))}, {"v": rl("list_transform(a, lambda x: x / sqrt(list_sum(list_transform(a, lambda y: y*y))))")})
+_vector("vec_cross", lambda A, B: {"v": rounded(vec.cross(A, B))}, {"v": rl("[a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]]")})
+_vector("vec_elminmax", lambda A, B: {"lo": rounded(vec.el_min(A, B)), "hi": rounded(vec.el_max(A, B))}, {"lo": rl(zipped("least(t[1], t[2])")), "hi": rl(zipped("greatest(t[1], t[2])"))})
+_vector("vec_cone_cmp", lambda A, B: {"below": vec.lt(A, vec.add(A, vec.fill(1, 64))), "less": vec.lt(F.slice(A, 1, 3), F.slice(B, 1, 3)), "at_least": vec.ge(F.slice(A, 1, 2), F.slice(B, 1, 2)), "same": vec.eq(A, B)}, {"below": "true", "less": "a[1]<b[1] AND a[2]<b[2] AND a[3]<b[3]", "at_least": "a[1]>=b[1] AND a[2]>=b[2]", "same": "a = b"})
 
 # ---- quaternions -------------------------------------------------------------------------
 
@@ -335,7 +333,7 @@ def _(spark, d):
 
 @query("polytope_support", f"WITH {EMB} SELECT vec_id, {r('greatest(a[1], a[4], a[7])')} AS reach, {r('(a[1]+a[4]+a[7])/3')} AS mx FROM e")
 def _(spark, d):
-    pts = F.array(*[F.slice(A, 1 + 3 * i, 3) for i in range(3)])
+    pts = F.array(*[F.slice(F.col("a"), 1 + 3 * i, 3) for i in range(3)])
     s = vec.support(pts, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
     return vectors(spark, d).select("vec_id", rnd(F.get(s, F.lit(0))).alias("reach"), rnd(F.get(vec.mean(pts), F.lit(0))).alias("mx"))
 

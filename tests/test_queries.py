@@ -23,3 +23,12 @@ def test_query_equals_sql(spark, name):
     assert cols == sorted(got.columns)
     rows = lambda names, data: sorted(str([x[names.index(c)] for c in cols]) for x in data)
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows(got.columns, got.fetchall())
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent).returncode == 0
