@@ -11,6 +11,7 @@ functions only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,10 @@ from lattica.llm.common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = "/.:-_?=&#%"
-#: 0 stands before the start; then letters, all digits as one, marks, and one for all else.
-SYMBOLS = 1 + 26 + 1 + len(MARKS) + 1
+#: The first symbol stands before the start; then letters, all digits as one, marks, and one for all else.
+START, OTHER = "^", "~"
+ALPHABET = START + LOWER + "0" + MARKS + OTHER
+SYMBOLS = len(ALPHABET)
 ORDER = 3
 
 
@@ -60,15 +63,17 @@ def first_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def grams(url: Column) -> Column:
-    """The URL's (ORDER + 1)-grams of symbols as one number each, one for each character."""
-    def symbol(c: Column) -> Column:
-        letter, mark = F.instr(F.lit(LOWER), c), F.instr(F.lit(MARKS), c)
-        return F.when(c.between("0", "9"), 27).when(letter > 0, letter).when(mark > 0, 27 + mark).otherwise(SYMBOLS - 1).cast("long")
+    """The URL's (ORDER + 1)-grams of symbols as texts over ALPHABET, one for each character; null for a null URL."""
+    plain = F.translate(url, UPPER + "0123456789", LOWER + "0" * 10)
+    symbols = F.regexp_replace(plain, rf"[^a-z0{re.escape(MARKS)}]", OTHER)
+    # An empty match at every place that has ORDER more symbols after it, so one pass over the URL makes all.
+    return F.regexp_extract_all(F.concat(F.lit(START * ORDER), symbols), F.lit(rf"(?=(.{{{ORDER + 1}}}))"), F.lit(1))
 
-    chars = F.filter(F.split(F.translate(url, UPPER, LOWER), ""), lambda c: c != "")
-    padded = F.concat(F.array_repeat(F.lit(0).cast("long"), ORDER), F.transform(chars, symbol))
-    at = lambda i, k: F.get(padded, i + k) * SYMBOLS ** (ORDER - k)
-    return F.transform(chars, lambda _, i: sum((at(i, k) for k in range(1, ORDER + 1)), at(i, 0)))
+
+def number(gram: Column) -> Column:
+    """A gram's symbols as the digits of one number, the first of most weight."""
+    digit = lambda k: (F.instr(F.lit(ALPHABET), F.substring(gram, k + 1, 1)) - 1).cast("long")
+    return sum((digit(k) * SYMBOLS ** (ORDER - k) for k in range(1, ORDER + 1)), digit(0) * SYMBOLS**ORDER)
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -114,18 +119,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     found = first_rule(F.col("host"), F.col("path"), rules)
-    rows = named.withColumn("f", found).select("page_id", "url", "host", "path", F.col("f.rule").alias("rule"), F.col("f.verdict").alias("by_rule"))
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
     fold = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5))
-    kinds = rows.select(F.explode(grams(F.col("url"))).alias("gram"), ((F.col("by_rule") == "allow") & (fold != 0)).alias("a"), ((F.col("by_rule") == "block") & (fold != 0)).alias("r"))
-    counts = cut(kinds.groupBy("gram").agg(F.count(F.when(F.col("a"), 1)).alias("a"), F.count(F.when(F.col("r"), 1)).alias("r")))
-    ratios = cut(model(counts))
-    parts = rows.select("rid", "page_id", "host", "path", "rule", "by_rule", (fold == 0).alias("held"), F.explode_outer(grams(F.col("url"))).alias("gram"))
-    first = lambda c: F.first(c).alias(c)
-    scored = cut(
-        parts.join(F.broadcast(ratios), "gram", "left").groupBy("rid")  # at most SYMBOLS ** 4 rows are broadcast
-        .agg(*map(first, ("page_id", "host", "path", "rule", "by_rule", "held")), F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("score"))
-    )
+    rows = named.withColumn("f", found).select("page_id", "url", "host", "path", F.col("f.rule").alias("rule"), F.col("f.verdict").alias("by_rule"), fold.alias("fold"))
+    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))  # written, so that a row's number lasts
+    kinds = rows.select(F.explode(grams(F.col("url"))).alias("text"), ((F.col("by_rule") == "allow") & (F.col("fold") != 0)).alias("a"), ((F.col("by_rule") == "block") & (F.col("fold") != 0)).alias("r"))
+    counts = cut(kinds.groupBy("text").agg(F.count(F.when(F.col("a"), 1)).alias("a"), F.count(F.when(F.col("r"), 1)).alias("r")).withColumn("gram", number(F.col("text"))))
+    ratios = cut(model(counts).join(counts.select("gram", "text"), "gram").select("text", "ratio"))
+    parts = rows.select("rid", F.explode(grams(F.col("url"))).alias("text"))
+    means = parts.join(F.broadcast(ratios), "text").groupBy("rid").agg(F.avg("ratio").alias("score"))  # at most SYMBOLS ** 4 rows are broadcast
+    scored = cut(rows.join(means, "rid", "left").select("page_id", "host", "path", "rule", "by_rule", (F.col("fold") == 0).alias("held"), F.coalesce("score", F.lit(0.0)).alias("score")))
     limit = threshold(scored.filter("held AND by_rule IS NOT NULL").select("score", (F.col("by_rule") == "allow").alias("allowed")))
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -91,6 +91,22 @@ def test_urls(spark):
         assert verdict is None or got[i]["verdict"] == verdict
 
 
+def test_url_grams_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    urls = ["http://A.org/Ünï/9?q=1", "", None, "漢😀\n^~-", "x" * 5000]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(F.transform(url_filter.grams(F.col("url")), url_filter.number)).collect()
+    for u, (numbers,) in zip(urls, got, strict=True):
+        if u is None:
+            assert numbers is None
+            continue
+        symbols = [0] * 3
+        for c in u:
+            c = c.lower() if c.isascii() else c
+            symbols.append(27 if c in "0123456789" else 1 + url_filter.LOWER.index(c) if c in url_filter.LOWER else 28 + url_filter.MARKS.index(c) if c in url_filter.MARKS else 38)
+        assert numbers == [sum(s * 39 ** (3 - k) for k, s in enumerate(symbols[i : i + 4])) for i in range(len(u))]
+
+
 def test_url_model_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(int(g), int(rng.integers(4)), int(rng.integers(4))) for g in rng.choice(url_filter.SYMBOLS**4, 60, replace=False)]
