@@ -26,6 +26,7 @@ from lattica.llm.tokens import tokenizer_path, word_ids
 
 CAPACITY = 2048
 END_ID = 0
+ROWS_AT_ONCE = 256
 
 
 def dominating(counts: np.ndarray, j: int) -> tuple[int, ...] | None:
@@ -118,7 +119,7 @@ def runs(counts: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], int,
 def _piece_batches(path: str, capacity: int):
     def run(batches):
         encoder = word_ids(path)
-        for b in batches:
+        for b in (big.slice(i, ROWS_AT_ONCE) for big in batches for i in range(0, big.num_rows, ROWS_AT_ONCE)):
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(encoder.ids(text.split()) if text else np.empty(0, "<u4"), np.uint32(END_ID)).astype("<u4")

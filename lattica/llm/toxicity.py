@@ -16,12 +16,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lattica.llm.common import crc_mod, cut
 
 MOST_ROWS, MOST_FEATURES, LEAST_ROWS = 12_000, 4096, 8
+ROWS_AT_ONCE = 256
 BEGINNINGS = (5, 6, 7, 8)
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -150,21 +153,22 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tup
     return {f: float(w[i]) for f, i in index.items() if w[i]}, bias
 
 
-def _score_batches(weights: dict[str, float], bias: float):
+def _score_batches(weights: dict[str, float], bias: float, text, done):
+    """``text`` gives a batch's texts, ``done`` what to return of the batch and its scores; few rows at a time become Python strings."""
     whole = {f[1:]: w for f, w in weights.items() if f[0] == "="}
     begin = {f[1:]: w for f, w in weights.items() if f[0] == "^"}
     twice = {f[1:]: w for f, w in weights.items() if f[0] == "2"}
 
     def run(batches):
         names, starts = whole.keys(), begin.keys() | twice.keys()
-        for b in batches:
+        for b in (big.slice(i, ROWS_AT_ONCE) for big in batches for i in range(0, big.num_rows, ROWS_AT_ONCE)):
             out = []
-            for t in b.column(b.num_columns - 1).to_pylist():
+            for t in text(b).to_pylist():
                 words = words_of(t)
                 n = Counter(x for x in beginnings(words) if x in starts)
                 x = bias + sum(whole[w] for w in sorted(words & names)) + sum(begin.get(w, 0.0) + (twice.get(w, 0.0) if n[w] > 1 else 0.0) for w in sorted(n))
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, x)))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], [*b.schema.names[:-1], "score"])
+            yield done(b, pa.array(out, pa.float64()))
 
     return run
 
@@ -174,17 +178,23 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str
     name = "__toxicity_text"
     rows = docs.select(*keep, F.col("text").alias(name))
     fields = [f for f in rows.schema.fields if f.name != name]
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return rows.mapInArrow(_score_batches(*model), StructType([*fields, StructField("score", DoubleType())]))
+    def done(b, scores):
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*b.schema.names[:-1], "score"])
+
+    return rows.mapInArrow(_score_batches(*model, lambda b: b.column(b.num_columns - 1), done), StructType([*fields, StructField("score", DoubleType())]))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """docs without those scored ``limit`` or more; columns and other rows are kept as they are."""
-    name = "__toxicity_kept"
-    model = train(docs, labels)
-    scored = score(docs.withColumn(name, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), model, [name])
-    return scored.filter(F.col("score") < limit).select(f"{name}.*")
+    name = "__toxicity_row"
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
+
+    def done(b, scores):
+        return b.filter(pa.compute.less(scores, limit))
+
+    kept = rows.mapInArrow(_score_batches(*train(docs, labels), lambda b: pa.compute.struct_field(b.column(0), "text"), done), rows.schema)
+    return kept.select(f"{name}.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
