@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import base64
 import os
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +29,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -77,30 +76,6 @@ class WordIds:
         return np.frombuffer(b"".join(got), "<u4")
 
 
-class SpacedIds(WordIds):
-    """Ids of each word with a space before it, by a byte-level BPE file of ranks: quick, and no two texts of words share ids."""
-
-    def __init__(self, path: str, most: int = 150_000):
-        import tiktoken
-
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.tokenizer = tiktoken.Encoding("spaced", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.size = max(ranks.values()) + 1
-        self.cache, self.old, self.most = {}, {}, most
-
-    def encode(self, new: list[bytes]) -> None:
-        ids = self.tokenizer.encode_ordinary
-        self.cache.update((w, array("I", ids(" " + w.decode("utf-8", "replace"))).tobytes()) for w in new)
-
-
-@lru_cache(2)
-def spaced_ids(path: str) -> SpacedIds:
-    """One for each Python worker and file."""
-    return SpacedIds(path)
-
-
 @lru_cache(2)
 def word_ids(path: str) -> WordIds:
     """One for each Python worker and file."""

@@ -315,16 +315,6 @@ def test_word_cache_equals_the_tokenizer():
         assert w.ids(t.encode().split()).tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_spaced_ids_are_of_whole_words_and_lose_nothing():
-    w = lm_score.spaced_ids.__wrapped__(lm_score.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    w.most = 50
-    for t in [prose(1, 300), "İstanbul ΣΑΣ ﬁ é ́x q́ \xa0b", "it's they'LL 12a3,,, ok", "x" * 30_000, ""]:
-        words = t.encode().split()
-        ids = w.ids(words)
-        assert w.tokenizer.decode_bytes(ids.tolist()) == b"".join(b" " + x for x in words)
-        assert ids.tolist() == [i for x in words for i in w.ids([x]).tolist()] and ids.max(initial=0) < w.size
-
-
 def test_classifier_learns_and_swaps_do_not_matter(spark):
     rows, labels = [], []
     for i in range(400):
