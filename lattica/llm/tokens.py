@@ -71,8 +71,8 @@ class WordIds:
     def ids(self, words: list[bytes]) -> np.ndarray:
         got = list(map(self.cache.get, words))
         if None in got:
-            self.learn([w for w, known in zip(words, got, strict=True) if known is None])
-            got = [self.cache[w] if known is None else known for w, known in zip(words, got, strict=True)]
+            self.learn(words)
+            got = list(map(self.cache.__getitem__, words))
         return np.frombuffer(b"".join(got), "<u4")
 
 
