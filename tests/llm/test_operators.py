@@ -357,6 +357,22 @@ def test_scores_are_of_a_distribution_and_windows_agree_with_one_by_one():
     assert np.allclose(together, [lm_score.log10_scores([x], m, v)[0] for x in ids])
 
 
+def test_every_window_of_every_training_document_is_trained_on(monkeypatch):
+    import pyarrow as pa
+
+    path = lm_score.tokenizer_path()
+    encoder = lm_score.word_ids(path)
+    texts = [prose(1, 700).encode(), b"", prose(2, 30).encode(), prose(3, 5000).encode()]
+    v = lm_score.Vocabulary(np.ones(encoder.size))
+    seen = collections.Counter()
+    monkeypatch.setattr(lm_score.Model, "train", lambda self, x, pad, y, there, rate, vocabulary: seen.update(y[there].tolist()))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    (out,) = lm_score._average_batches(path, v, lm_score.Model(vocabulary=v).flat, 0.001)([batch])
+    ids = [encoder.ids(t.split()).tolist() for t in texts]
+    assert seen == collections.Counter([i for x in ids for i in [*x, v.end]])  # each subword once, and an end for each text only
+    assert out.column(1).to_pylist() == [sum(-(-(len(x) + 1) // lm_score.HALF) for x in ids)]
+
+
 def test_base_scores_equal_brute_force(spark):
     rows = [doc(i, prose(i % 15, 40).title()) for i in range(40)] + [doc(50, "unseenword"), doc(51, None)]
     got = {r["doc_id"]: r for r in lm_score.score_texts(spark.createDataFrame(rows, DOC)).collect()}
