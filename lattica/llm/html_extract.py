@@ -10,6 +10,7 @@ rules hide, are left out with all they hold.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from html import unescape
 
 import pyarrow as pa
@@ -32,8 +33,8 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 IN_HEAD = frozenset("base link meta title style script noscript template head html".split())
-#: Below this depth elements open beside each other, as browsers do; their text is kept.
-DEEPEST = 200
+CELLS = ("td", "th", "table")
+KEEP_P = ("td", "th", "li", "button", "table", "caption", "object")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -54,43 +55,50 @@ def parse(html: str) -> tuple[Element, set]:
     """The tree under a root, and the selectors (element, mark, name) that its style sheets hide."""
     root = Element("", {})
     open_, hidden, at = [root], set(), 0
+    places: dict[str, list[int]] = {}  # where in open_ elements of each name are
 
     def close_to(i: int) -> None:
+        for e in open_[i:]:
+            places[e.name].pop()
         del open_[i:]
 
+    def last(*names: str) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close_head() -> None:
+        close_to(next(i for i, e in enumerate(open_) if e.name == "head"))
+
+    def text(raw: str) -> None:
+        if any(e.name == "head" for e in open_[:3]) and raw.strip() and open_[-1].name not in RAW:
+            close_head()
+        open_[-1].children.append(unescape(raw))
+
     def begin(name: str, attributes: dict[str, str]) -> None:
-        names = [e.name for e in open_]
         if name in CLOSES_P or name == "p":
-            for i in range(len(open_) - 1, 0, -1):
-                if names[i] == "p":
-                    close_to(i)
-                    break
-                if names[i] in ("td", "th", "li", "button", "table", "caption", "object"):
-                    break
+            if (i := last("p")) > last(*KEEP_P):
+                close_to(i)
         elif name in IMPLIED:
             ends, stop = IMPLIED[name]
-            last = None
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name in ends:
-                    last = i
-                elif open_[i].name in stop:
-                    break
-            if last is not None:
-                close_to(last)
+            outer = last(*stop)
+            inside = [x[k] for n in ends if (x := places.get(n)) and (k := bisect(x, outer)) < len(x)]
+            if inside:
+                close_to(min(inside))
         if name not in IN_HEAD and any(e.name == "head" for e in open_[:3]):
-            close_to(next(i for i, e in enumerate(open_) if e.name == "head"))
+            close_head()
         if name in ("td", "th") and open_[-1].name in ("table", "tbody", "thead", "tfoot"):
             begin("tr", {})
-        if name in ("html", "body") and any(e.name == name for e in open_):
+        if name in ("html", "body") and last(name):
             return
         e = Element(name, attributes)
         open_[-1].children.append(e)
-        if name not in VOID and len(open_) < DEEPEST:
+        if name not in VOID:
+            places.setdefault(name, []).append(len(open_))
             open_.append(e)
 
     while m := TOKEN.search(html, at):
         if m.start() > at:
-            text(open_, html[at : m.start()])
+            text(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -98,16 +106,11 @@ def parse(html: str) -> tuple[Element, set]:
         if m[1]:
             if name == "br":
                 begin("br", {})
-            elif name == "p" and not any(e.name == "p" for e in open_):
+            elif name == "p" and not last("p"):
                 begin("p", {})
                 close_to(len(open_) - 1)
-            else:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].name == name:
-                        close_to(i)
-                        break
-                    if open_[i].name in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                        break
+            elif (i := last(name)) and (name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or i >= last(*CELLS)):
+                close_to(i)
             continue
         attributes = {}
         for a in ATTRIBUTE.finditer(m[3]):
@@ -119,21 +122,15 @@ def parse(html: str) -> tuple[Element, set]:
             if name == "style":
                 hidden |= hiding(inner)
             elif name in ("textarea", "title"):
-                text(open_, inner)
+                text(inner)
             at = end.start() if end else len(html)
             if end is None and len(open_) > 1:
                 close_to(len(open_) - 1)
     if at < len(html):
-        text(open_, html[at:])
+        text(html[at:])
     return root, hidden
 
 
-def text(open_: list[Element], raw: str) -> None:
-    if any(e.name == "head" for e in open_[:3]) and raw.strip() and open_[-1].name not in RAW:
-        del open_[next(i for i, e in enumerate(open_) if e.name == "head") :]
-    open_[-1].children.append(unescape(raw))
-
-
 def hiding(css: str) -> set:
     out = set()
     for m in STYLE_RULE.finditer(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
@@ -199,7 +196,20 @@ class Lines:
             self.gap = blank
 
 
-def lay_out(e: Element, hidden: set, out: Lines, depth: int = 0) -> None:
+def run(step):
+    """Run one of the generators below to its end. They yield those they need the result of, which wait on a stack, so no depth of the tree is too much."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
+def lay_out(e: Element, hidden: set, out: Lines, depth: int = 0):
     for c in e.children:
         if isinstance(c, str):
             out.add(c)
@@ -213,26 +223,26 @@ def lay_out(e: Element, hidden: set, out: Lines, depth: int = 0) -> None:
         elif name == "hr":
             out.end(True)
         elif name in ("ul", "ol", "menu", "dir"):
-            items(c, hidden, out, depth)
+            yield items(c, hidden, out, depth)
         elif name == "table":
-            out.take(table(c, hidden), True)
+            out.take((yield table(c, hidden)), True)
         elif name in ("pre", "xmp"):
             raw = plain(c, hidden)
             out.take((raw[1:] if raw.startswith("\n") else raw).rstrip("\n").split("\n") if raw.strip() else [], True)
         elif name in ("blockquote", "dd"):
             inner = Lines()
-            lay_out(c, hidden, inner, depth)
+            yield lay_out(c, hidden, inner, depth)
             inner.end()
             out.take(inner.lines, name == "blockquote", "  ", "  ")
         elif name in BLOCK:
             out.end(name in SPACED)
-            lay_out(c, hidden, out, depth)
+            yield lay_out(c, hidden, out, depth)
             out.end(name in SPACED)
         else:
-            lay_out(c, hidden, out, depth)
+            yield lay_out(c, hidden, out, depth)
 
 
-def items(e: Element, hidden: set, out: Lines, depth: int) -> None:
+def items(e: Element, hidden: set, out: Lines, depth: int):
     blank = depth == 0
     out.end(blank)
     start = e.attributes.get("start", "1")
@@ -242,12 +252,12 @@ def items(e: Element, hidden: set, out: Lines, depth: int) -> None:
             loose = Element("", {})
             loose.children = [c]
             inner, mark = Lines(), ""
-            lay_out(loose, hidden, inner, depth + 1)
+            yield lay_out(loose, hidden, inner, depth + 1)
         elif shown(c, hidden):
             mark = f"{n}. " if e.name == "ol" else "- "
             n += 1
             inner = Lines()
-            lay_out(c, hidden, inner, depth + 1)
+            yield lay_out(c, hidden, inner, depth + 1)
         else:
             continue
         inner.end()
@@ -256,14 +266,24 @@ def items(e: Element, hidden: set, out: Lines, depth: int) -> None:
 
 
 def plain(e: Element, hidden: set) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else plain(c, hidden) if shown(c, hidden) else "" for c in e.children)
+    """Its text as it stands."""
+    out, left = [], [e]
+    while left:
+        c = left.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.name == "br":
+            out.append("\n")
+        elif c is e or shown(c, hidden):
+            left += reversed(c.children)
+    return "".join(out)
 
 
-def table(e: Element, hidden: set) -> list[str]:
+def table(e: Element, hidden: set):
     """Lines of a table: its caption, then rows whose cells start at the same places; a spanning cell takes as many columns."""
     head, grid = [], []
 
-    def walk(x: Element) -> None:
+    def walk(x: Element):
         for c in x.children:
             if isinstance(c, str):
                 if c.strip():
@@ -281,22 +301,22 @@ def table(e: Element, hidden: set) -> list[str]:
                         cell = d if d.name in ("td", "th") else Element("", {})
                         if cell is not d:
                             cell.children = [d]
-                        lay_out(cell, hidden, inner)
+                        yield lay_out(cell, hidden, inner)
                         inner.end()
                         span = cell.attributes.get("colspan", "1")
                         row.append((inner.lines or [""], min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1))
                 grid.append(row)
             elif c.name in ("tbody", "thead", "tfoot", "colgroup"):
-                walk(c)
+                yield walk(c)
             else:
                 inner = Lines()
                 loose = Element("", {})
                 loose.children = [c]
-                lay_out(loose, hidden, inner)
+                yield lay_out(loose, hidden, inner)
                 inner.end()
                 head.extend(inner.lines)
 
-    walk(e)
+    yield walk(e)
     widths: dict[int, int] = {}
     for row in grid:
         at = 0
@@ -322,7 +342,7 @@ def extract(html: str | None) -> str:
         return ""
     root, hidden = parse(html)
     out = Lines()
-    lay_out(root, hidden, out)
+    run(lay_out(root, hidden, out))
     out.end()
     return "\n".join(line.rstrip() for line in out.lines)
 

@@ -61,6 +61,15 @@ def test_html_layout():
     assert html_extract.extract("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_rules_hold_at_every_depth():
+    x = html_extract.extract
+    for n in (3, 199, 5000, 50_000):
+        assert x("<div>" * n + '<div hidden>secret</div><p>a<ul><li>x<li>y</ul><table><tr><td>aa<td>b<tr><td>c<td>d</table>') == "a\n\n- x\n- y\n\naa  b\nc   d"
+        assert x("<div hidden>" + "<div>" * n + "in" + "</div>" * n + "secret</div>out") == "out"
+        assert x("<b><i>" * n + "t" + "</i></b>" * n + "<select hidden><option>no</select>") == "t"
+    assert x("<table><tr><td>" * 1500 + "deep").strip() == "deep" and x("<ul><li>" * 1500 + "deep").endswith("- deep") and x("<blockquote>" * 1500 + "deep").strip() == "deep"
+
+
 def test_quality_counts_equal_brute_force(spark):
     texts = [prose(1, 50), prose(2, 12) + "\n" + prose(2, 12), "a\nb\na\n\n \na", "% # x|y <z>", prose(3, 9) + " " + prose(3, 9), "é ü\x0bq\x1fz"]
     got = {r["doc_id"]: r for r in quality.base_counts(spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC)).collect()}
