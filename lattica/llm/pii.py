@@ -52,7 +52,7 @@ FOUND = re.compile(
     rf"|\b(?P<first>{'|'.join(NAME_GENDER)}) (?P<last>{CAPITAL})"
 )
 #: What any of these begins with or holds; a text without is left alone after one quick search.
-HINT = re.compile(rf"[@:=]|\d{{3}}|\d\.\d|AKIA|\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)}|Dr|Prof|{'|'.join(NAME_GENDER)})\b|sk-|gh[pos]_|eyJ")
+HINT = re.compile(rf"[@:=]|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|AKIA|\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)}|Dr|Prof|{'|'.join(NAME_GENDER)})\b|sk-|gh[pos]_|eyJ")
 ACCENTED, CYRILLIC = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 DIGIT_KINDS = frozenset(("ssn", "card", "phone"))
 
