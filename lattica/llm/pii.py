@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +40,19 @@ FIRST_NAMES = {
 SYLLABLES = {"latin": ("b d f g h k l m n p r s t v w".split(), "a e i o u".split()), "cyrillic": ("б в г д ж з к л м н п р с т".split(), "а е и о у".split())}
 NAME_GENDER = {n: (g, s) for (g, s), names in FIRST_NAMES.items() for n in names}
 
-CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+
+
+def of_category(*categories: str) -> str:
+    """Ranges of all characters of these Unicode categories, as they stand in a regular expression's brackets."""
+    at = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in categories]
+    starts = [i for i, before in zip(at, [-2, *at], strict=False) if i != before + 1]
+    ends = [i for i, after in zip(at, [*at[1:], -2], strict=True) if i != after - 1]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+UPPER, LOWER, CASELESS, MARK = of_category("Lu", "Lt"), of_category("Ll"), of_category("Lo"), of_category("Mn", "Mc")
+#: A capitalised name, of one or two parts, or a run of letters of a script without capitals.
+CAPITAL = rf"(?:[{UPPER}][{MARK}]*(?:[{LOWER}][{MARK}]*)+(?:-[{UPPER}][{MARK}]*(?:[{LOWER}][{MARK}]*)+)?|[{CASELESS}][{CASELESS}{MARK}]*)"
 FOUND = re.compile(
     r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}))"
@@ -54,6 +69,9 @@ FOUND = re.compile(
 #: What any of these begins with or holds; a text without is left alone after one quick search.
 HINT = re.compile(rf"[@:=]|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|AKIA|\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)}|Dr|Prof|{'|'.join(NAME_GENDER)})\b|sk-|gh[pos]_|eyJ")
 ACCENTED, CYRILLIC = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+COMMON_SETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ACCENTED, ACCENTED.upper(), CYRILLIC, CYRILLIC.upper()]
+#: After so many surrogates of its shape that were taken, an address, key, secret or surname gets one of another shape.
+MOST_SHAPED = 16
 DIGIT_KINDS = frozenset(("ssn", "card", "phone"))
 
 
@@ -80,11 +98,47 @@ def permuted(x: int, n: int, key: bytes, *tweak) -> int:
             return x
 
 
+def kin(c: str) -> tuple:
+    """What a letter or digit shares with those that can take its place: category, script, and whether it survives a change of case."""
+    other = c.swapcase()
+    return unicodedata.category(c), unicodedata.name(c, "").split(" ")[0].split("-")[0], len(other) == 1 and other.swapcase() == c
+
+
+@lru_cache(1 << 14)
+def alphabet(c: str) -> str | None:
+    """The characters among which c is permuted: a common set, or those like it among the 256 around it; none for marks and signs."""
+    if common := next((a for a in COMMON_SETS if c in a), None):
+        return common
+    if not c.isalnum():
+        return None
+    start = ord(c) & ~255
+    near = [d for d in map(chr, range(start, start + 256)) if kin(d)[:2] == kin(c)[:2] and not any(d in a for a in COMMON_SETS)]
+    same = [d for d in near if kin(d) == kin(c)]
+    return "".join(same if len(same) > 1 else near)
+
+
+def shapes(s: str) -> int:
+    """How many strings have the shape of s."""
+    n = 1
+    for c in s:
+        n *= len(alphabet(c) or "-")
+    return n
+
+
+def fresh(s: str, key: bytes, *tweak) -> str:
+    """A keyed string of small letters and digits, at least as long as s."""
+    x, out = 0, []
+    for i in range(max(len(s), 10)):
+        x = x if i % 10 else keyed(key, s, "fresh", i, *tweak)
+        x, r = divmod(x, 36)
+        out.append("abcdefghijklmnopqrstuvwxyz0123456789"[r])
+    return "".join(out)
+
+
 def reshaped(s: str, key: bytes, *tweak) -> str:
-    """Another string of the same shape: digits for digits, letters for letters of their case, hexadecimal as such; the rest stays."""
+    """Another string of the same shape: digits for digits, letters for letters of their case and script, hexadecimal as such; the rest stays."""
     hexa = re.fullmatch(r"[0-9a-f]+", s) and re.search(r"[a-f]", s) and re.search(r"\d", s) and len(s) >= 12
-    sets = ["0123456789abcdef"] if hexa else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ACCENTED, ACCENTED.upper(), CYRILLIC, CYRILLIC.upper()]
-    own = [next((a for a in sets if c in a), None) for c in s]
+    own = ["0123456789abcdef"] * len(s) if hexa else [alphabet(c) for c in s]
     x, n = 0, 1
     for c, a in zip(s, own, strict=True):
         if a:
@@ -104,12 +158,16 @@ def luhn(digits: str) -> int:
 
 
 def script(s: str) -> str:
-    return "cyrillic" if re.search("[А-Яа-яЁё]", s) else "latin"
+    if re.search("[А-Яа-яЁё]", s):
+        return "cyrillic"
+    names = {unicodedata.name(c, "").split(" ")[0] for c in s if c.isalpha()}
+    return "latin" if names <= {"LATIN"} else "other"
 
 
 def surrogate(kind: str, atom: str, attempt: int, key: bytes = KEY) -> str:
     """The surrogate of an atom in its normal form."""
     t = (kind, attempt)
+    late = attempt >= MOST_SHAPED
     if kind == "card":
         if luhn(atom) == 0:
             body = atom[0] + reshaped(atom[1:-1], key, *t)
@@ -123,24 +181,29 @@ def surrogate(kind: str, atom: str, attempt: int, key: bytes = KEY) -> str:
         x = permuted((a << 24) + (b << 16) + (c << 8) + d, 1 << 32, key, *t)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind == "key" and (m := re.match(r"AKIA|gh[pos]_|sk-|eyJ", atom)):
-        return m[0] + reshaped(atom[m.end() :], key, *t)
+        rest = atom[m.end() :]
+        return m[0] + (fresh if late or shapes(rest) < 2 else reshaped)(rest, key, *t)
     if kind == "iban":
         return atom[:2] + reshaped(atom[2:], key, *t)
     if kind == "email":
         local, _, host = atom.partition("@")
         name, dot, top = host.rpartition(".")
-        return f"{reshaped(local, key, *t)}@{reshaped(name, key, *t)}{dot}{top}"
+        return f"{(fresh if late or shapes(local) < 2 else reshaped)(local, key, *t)}@{reshaped(name, key, *t)}{dot}{top}"
     if kind == "first":
         names = FIRST_NAMES[NAME_GENDER[atom]]
         return names[permuted(names.index(atom), len(names), key, *t)]
+    if kind == "surname" and script(atom) == "other" and not late and shapes(atom) > 1:
+        return reshaped(atom, key, *t)
     if kind == "surname":
-        x, (cons, vowels) = keyed(key, atom, *t), SYLLABLES[script(atom)]
+        x, (cons, vowels) = keyed(key, atom, *t), SYLLABLES["cyrillic" if script(atom) == "cyrillic" else "latin"]
         out = []
-        for _ in range(max(3, min(6, len(atom) // 2))):
+        for _ in range(max(3, min(6, len(atom) // 2)) + (3 if late else 0)):
             x, c = divmod(x, len(cons))
             x, v = divmod(x, len(vowels))
             out.append(cons[c] + vowels[v])
         return "".join(out).capitalize()
+    if kind == "secret" and (late or shapes(atom) < 2):
+        return fresh(atom, key, *t)
     return reshaped(atom, key, *t)
 
 
@@ -182,8 +245,8 @@ def found_in(text: str | None) -> list[tuple[str, str, int, int]]:
 def laid_out(kind: str, seen: str, new: str) -> str:
     """The surrogate in the layout in which its atom was seen."""
     if kind in DIGIT_KINDS or kind == "iban":
-        rest = iter(re.sub(r"[^0-9A-Z]", "", new))
-        return "".join(next(rest, "") if re.match(r"[0-9A-Z]", c) else c for c in seen)
+        rest = iter(re.sub(r"[^\dA-Z]", "", new))
+        return "".join(next(rest, "") if re.match(r"[\dA-Z]", c) else c for c in seen)
     return new.upper() if kind in ("email", "ip6") and seen.isupper() else new
 
 

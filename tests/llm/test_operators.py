@@ -201,6 +201,22 @@ def test_the_quick_search_finds_every_layout_alone(kind, example):
     assert m and m[kind] and pii.HINT.search(m[0]) and pii.found_in(f"so {example} ok")
 
 
+def test_entities_of_any_script_are_replaced(spark):
+    for found in ("张伟@example.com", "łukasz@x.org", "νίκος@x.org", "token=密码密码密码", "password: żółćęś", "secret=παράδειγμα", "pwd=가나다라마바", "pwd=ßßßßßß", "+٣٣ ١٢ ٣٤ ٥٦ ٧٨", "Mr. Łukasz Żółć", "Dr Νίκος Παπαδόπουλος", "Frau Çağla Yıldız", "Mr 张伟", "Dr. محمد", "James Ґудзь"):
+        new, kinds = pii.replaced(f"so {found} ok", {})
+        assert kinds and new != f"so {found} ok"
+        for kind, atom, a, b in pii.found_in(f"so {found} ok"):
+            made = pii.surrogate(kind, atom, 0)
+            assert made != atom and sum(c == d for c, d in zip(atom.split("@")[0], made.split("@")[0], strict=False)) <= len(atom) // 2
+    alike = [chr(i) for i in range(0x3B1, 0x3CA) if chr(i) in pii.alphabet("α")]
+    assert len({pii.reshaped(a + b, b"k", "x") for a in alike for b in alike}) == len(alike) ** 2
+    assert "Ж" not in pii.reshaped("Żółć", b"k") and all(pii.kin(c) == pii.kin(d) for c, d in zip("ΠαπάŁł密가", pii.reshaped("ΠαπάŁł密가", b"k"), strict=True))
+    # no letter that a permutation could change, and a shape all of whose strings are real: the search for surrogates ends
+    rows = ["password: 密码密码密码", "%+-@-.com", "pwd=_____ª", *[f"pwd=!!!!!!{c}" for c in "abcdefghijklmnopqrstuvwxyz"], *[f"{c}@1.org" for c in "abcdefghijklmnopqrstuvwxyz"]]
+    table = pii.attempts(spark.createDataFrame([doc(i, t) for i, t in enumerate(rows)], DOC)).toPandas()
+    assert len(table) == len(rows) and not table.duplicated(["kind", "surrogate"]).any() and not set(table.surrogate) & set(table.atom)
+
+
 def brute_components(prints, radius):
     root = list(range(len(prints)))
 
