@@ -12,6 +12,9 @@ distinct fingerprints; each is sent to about 20 tasks, and a task holds one
 bounded home tile and streams the rest past it. A task returns a spanning
 forest of its links, never all pairs, so a large group of copies costs a row
 each. Exact copies share one fingerprint and count once.
+
+``deduplicate`` takes these links, at a wide radius, as candidates only: within
+each group of candidates the sets of shingles themselves are compared.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SHINGLES_AT_ONCE = 1 << 16
 MOST_HOME, LEAST_HOME = 1 << 18, 1 << 8
 HOMES = 64
 PAIRS_AT_ONCE = 1 << 18
+#: A group of candidates is compared in parts of about so many shingles and texts, every two parts in a task.
+SHINGLES_A_PART, TEXTS_A_PART = 1 << 19, 1 << 9
 
 
 def fingerprint(text: bytes | None, shingle_words: int = 4, bits: int = 64) -> tuple[bytes, int]:
@@ -284,20 +289,140 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup(rows, every.drop("rows"), "node", hot).select("id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, shingle_words: int = 5, bits: int = 128, radius: int = 19, size_ratio: float = 0.8) -> DataFrame:
+def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """Sorted 128-bit hashes (XXH3, seed 42; a row of two numbers each) of the distinct shingles, as ``fingerprint`` counts them."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty((0, 2), np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1])).tolist()
+    stops = (ends[min(shingle_words, len(words)) - 1 :] - 1).tolist()
+    distinct = sorted({xxhash.xxh3_128_digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=False)})
+    return np.frombuffer(b"".join(distinct), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _set_batches(shingle_words: int):
+    """Of each text a name of its set of shingles, the 128-bit fingerprint of the set, and how many there are."""
+
+    def run(batches):
+        for b in batches:
+            names, prints, n = [], [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_set(t, shingle_words)
+                ones = np.zeros(128, np.int64)
+                for i in range(0, len(h), SHINGLES_AT_ONCE):
+                    ones += np.unpackbits(h[i : i + SHINGLES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.uint32)
+                names.append(xxhash.xxh3_128_hexdigest(h.tobytes(), 42))
+                prints.append(np.packbits(2 * ones > len(h)).view(">u8").astype(np.int64))
+                n.append(len(h))
+            wide = np.array(prints, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(n, pa.int64())], ["id", "node", "hi", "lo", "n"])
+
+    return run
+
+
+def _hash_batches(shingle_words: int):
+    """Of each text the first halves of its shingles' hashes."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([np.unique(shingle_set(t, shingle_words)[:, 0]).tobytes() for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())], [*b.schema.names[:-1], "set"])
+
+    return run
+
+
+def set_links(ids: list[int], sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest, (greater id, lesser id), of pairs of sets of at least that similarity.
+
+    The first so many sets are one part and the others another: only pairs of
+    one with the other are compared; all pairs, if there is no other.
+    """
+    if not sets or not (size := np.array([len(x) for x in sets])).any():
+        return []
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    start = np.concatenate(([0], np.cumsum(size)))
+    root, out = np.arange(len(sets)), []
+    mark = np.zeros(int(code.max()) + 1, bool)
+    for i in range(first if first < len(sets) else 1, len(sets)):
+        earlier = np.arange(min(i, first))
+        n = size[earlier]
+        left = earlier[(np.minimum(n, size[i]) + 1e-9 >= similarity * np.maximum(n, size[i])) & (n > 0)]
+        own = code[start[i] : start[i + 1]]
+        mark[own] = True
+        while len(left := left[root[left] != root[i]]):  # pairs connected already need no look
+            some, left = left[:8], left[8:]
+            for j in some.tolist():
+                if root[j] == root[i]:
+                    continue
+                both = int(np.count_nonzero(mark[code[start[j] : start[j + 1]]]))
+                if both + 1e-9 >= similarity * (size[i] + size[j] - both):
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                    root[root == max(root[i], root[j])] = min(root[i], root[j])
+        mark[own] = False
+    return out
+
+
+def _verify_batches(similarity: float):
+    """Links of tasks: rows (label, a, b, part, id, set), sorted by the first four."""
+
+    def run(batches):
+        task, ids, sets, first = None, [], [], 0
+
+        def done():
+            got = set_links(ids, sets, first, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["u", "p"])
+
+        for batch in batches:
+            for label, a, b, part, i, x in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (label, a, b) != task:
+                    if task:
+                        yield done()
+                    task, ids, sets, first = (label, a, b), [], [], 0
+                ids.append(i)
+                sets.append(np.frombuffer(x, np.uint64))
+                first += part == a
+        if task:
+            yield done()
+
+    return run
+
+
+def deduplicate(docs: DataFrame, *, shingle_words: int = 5, radius: int = 32, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each component the first row stays.
 
-    By default shingles of five words and 128 bits; a shingle similarity J has
-    cosine 2J / (1 + J), and 19 bits of 128 stand for the angle at J = 0.8. A
-    similarity of 0.8 also keeps shingle counts within that ratio, so other
-    pairs are not linked. The row number in the input (a scan of written files)
-    identifies rows, so null or repeated ids do no harm; exact repeats go.
-    Texts without a word are copies of each other: one stays. Columns are kept.
+    Two texts are near-duplicates if their sets of shingles have a similarity J
+    (common ones by all) of at least ``similarity``; components are of links
+    verified so, on the sets (by hashes). Candidates are groups connected by
+    128-bit fingerprints of the sets, within ``radius`` bits and with counts of
+    shingles in that ratio: at J = 0.8 the angle stands for 19 bits, and 32 are
+    three deviations more. Texts with the same set need no fingerprint. The row
+    number in the input (a scan of written files) identifies rows, so null or
+    repeated ids do no harm; exact repeats go. Texts without a word are copies
+    of each other: one stays. Columns are kept.
     """
     rid = "__simhash_row"
     numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    found = near_duplicates(numbered.select(rid, "text"), rid, shingle_words=shingle_words, bits=bits, radius=radius, size_ratio=size_ratio)
-    gone = cut(found.filter("id <> component_id").select(F.col("id").alias(rid)))
+    binary = numbered.select(rid, F.col("text").cast("binary").alias("text"))
+    rows = cut(binary.mapInArrow(_set_batches(shingle_words), "id long, node string, hi long, lo long, n long"))
+    nodes = cut(rows.groupBy("node", "hi", "lo", "n").agg(F.min("id").alias("least")))
+    # a set of fewer shingles than this is near to no other
+    able = nodes.filter(F.col("n") >= math.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else nodes.limit(0)
+    able = able.withColumn("print", F.concat(F.lower(F.lpad(F.hex("hi"), 16, "0")), F.lower(F.lpad(F.hex("lo"), 16, "0")), F.lit(":"), F.col("n")))
+    found = components(links(able.select("hi", "lo", "n").distinct(), 128, radius, similarity))
+    label = found.select(F.col("u").alias("print"), F.col("p").alias("label"))
+    labelled = cut(lookup(able.select("least", "n", "print"), label, "print").select("least", "n", F.coalesce("label", "print").alias("label")))
+    parts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("all")).filter("texts > 1")
+    parts = parts.select("label", F.greatest(F.ceil(F.col("all") / SHINGLES_A_PART), F.ceil(F.col("texts") / TEXTS_A_PART)).cast("long").alias("parts"))
+    members = lookup(labelled, parts, "label").filter("parts IS NOT NULL").select(F.col("least").alias(rid), "label", "parts", F.pmod(F.xxhash64("least"), F.col("parts")).alias("part"))
+    texts = binary.join(members, rid).select(rid, "label", "parts", "part", "text")
+    sets = cut(texts.mapInArrow(_hash_batches(shingle_words), f"{rid} long, label string, parts long, part long, set binary"))
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("label", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", F.col(rid).alias("id"), "set")
+    dealt = dealt.repartition("label", "a", "b").sortWithinPartitions("label", "a", "b", "part", "id")
+    near = components(dealt.mapInArrow(_verify_batches(similarity), "u long, p long"))
+    kept = nodes.select(F.col("least").alias("id")).join(near.select(F.col("u").alias("id")), "id", "left_anti")
+    gone = cut(rows.select("id").join(kept, "id", "left_anti").select(F.col("id").alias(rid)))
     return numbered.join(gone, rid, "left_anti").select(*docs.columns)
 
 

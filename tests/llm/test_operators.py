@@ -273,6 +273,30 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert len(kept) == 21 and set(range(20)) <= set(kept)
 
 
+def test_dedup_equals_exact_similarity(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = []
+    for k, share in enumerate(np.linspace(0.7, 0.95, 50)):  # pairs of 100 to 300 shingles around the threshold
+        n = int(rng.integers(100, 300))
+        a = prose(1000 + k, n + 4).split()
+        b = list(a)
+        cut = round(n * (1 - 2 * share / (1 + share)))
+        b[:cut] = prose(2000 + k, cut).split()
+        texts += [" ".join(a), " ".join(b)]
+    texts += ["one two three four five " * 50 + "six", "one two three four five " * 50 + "seven", "a b", "A  B", "", None, "p q r s t u v w", "p q r s t u v w x"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    kept = [i for i in range(len(texts)) if not any(near(sets[i], sets[j]) for j in range(i))]
+    assert 10 < len(texts) - len(kept) < 40 and not any(near(sets[i], sets[j]) and i // 2 != j // 2 for i in range(100) for j in range(i))
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC).coalesce(1)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == kept
+    monkeypatch.setattr(simhash, "TEXTS_A_PART", 1)  # every two texts of a group in a task of their own
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == kept
+
+
 def test_decontamination_equals_brute_force(spark):
     items = [(i, prose(i, 20 + i)) for i in range(12)]
     texts = [prose(50 + i, 80) for i in range(10)]
