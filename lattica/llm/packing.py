@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
 from lattica.llm.sharding import row_numbers
-from lattica.llm.tokens import tokenizer_path, word_ids
+from lattica.llm.subwords import slices, split_words, tokenizer_path, word_ids
 
 CAPACITY = 2048
 END_ID = 0
-ROWS_AT_ONCE = 256
 
 
 def dominating(counts: np.ndarray, j: int) -> tuple[int, ...] | None:
@@ -117,17 +116,23 @@ def runs(counts: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], int,
 
 
 def _piece_batches(path: str, capacity: int):
+    end = END_ID.to_bytes(4, "little")
+
     def run(batches):
         encoder = word_ids(path)
-        for b in (big.slice(i, ROWS_AT_ONCE) for big in batches for i in range(0, big.num_rows, ROWS_AT_ONCE)):
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encoder.ids(text.split()) if text else np.empty(0, "<u4"), np.uint32(END_ID)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    for col, x in zip(rows, (doc, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for b in (part for big in batches for part in slices(big, 1)):
+            ids, n = encoder.ids(*split_words(b.column(1)))
+            data, first = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(n) - n
+            many = -(-(n + 1) // capacity)  # pieces of each document, whose end counts as well
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(n[row] + 1 - start, capacity)
+            a = first[row] + start
+            z = a + np.minimum(length, n[row] - start)
+            last = piece == many[row] - 1
+            crc = [zlib.crc32(end, zlib.crc32(data[4 * i : 4 * j])) if e else zlib.crc32(data[4 * i : 4 * j]) for i, j, e in zip(a.tolist(), z.tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -4,10 +4,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from lattica.llm import common, decontam, html_extract, lm_score, packing, pii, quality, sharding, simhash, toxicity, url_filter
+from lattica.llm import common, decontam, html_extract, lm_score, packing, pii, quality, sharding, simhash, subwords, toxicity, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, id string, score double"
 WORDS = "the of and to in a is that for it was on stone river cloud garden winter marble engine yellow silver planet copper forest".split()
@@ -368,11 +371,30 @@ def test_packing_is_a_round_trip(spark):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
 
 
-def test_word_cache_equals_the_tokenizer():
-    w = packing.word_ids.__wrapped__(packing.tokenizer_path())
-    w.most = 50
-    for t in [prose(1, 300), "İstanbul ΣΑΣ ﬁ é ́x q́", "it's they'LL 12a3,,, ok", "a\x1f!!\x1e b"]:
-        assert w.ids(t.encode().split()).tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
+def test_ids_equal_the_tokenizer():
+    w = subwords.word_ids(packing.tokenizer_path())
+    texts = ["", None, "  a  b ", prose(1, 300), "İstanbul ΣΑΣ ﬁ é ́x q́", "it's they'LL 'tis ''s 12a3,,, ok", "a\x1f!!\x1e b\x00", "Ñandú STRASSE ßÿ× a÷b É́x", "日本語 テスト ٣", "x" * 300 + " " + "!" * 99, "a\u00a0b<|endoftext|>c", "aaaaaaaa abababab 2024-01-01"]
+    ids, n = w.ids(*subwords.split_words(pa.array(texts)))
+    at = np.cumsum([0, *n])
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == w.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    words, n = subwords.split_words(pa.array([" A b ", None, "", "c\td"]), lower=True)
+    assert words.to_pylist() == [b"a", b"b", b"c", b"d"] and n.tolist() == [2, 0, 0, 2]
+
+
+@given(st.lists(st.text(st.characters(max_codepoint=0x17F, exclude_categories=["Cs"]), max_size=30), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_ids_equal_the_tokenizer_on_any_text(texts):
+    w = subwords.word_ids(packing.tokenizer_path())
+    ids, n = w.ids(*subwords.split_words(pa.array(texts, pa.string())))
+    assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == w.tokenizer.encode(texts[0], add_special_tokens=False).ids if texts else not len(ids)
+    assert ids.tolist() == [i for t in texts for i in w.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
+def test_slices_hold_all_rows():
+    b = pa.RecordBatch.from_arrays([pa.array(["a" * k if k % 3 else None for k in range(40)])], ["t"])
+    parts = list(subwords.slices(b, 0, 50))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == b.column(0).to_pylist() and len(parts) > 5
 
 
 def test_classifier_learns_and_swaps_do_not_matter(spark):
