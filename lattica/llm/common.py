@@ -30,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM remove a written table when it ends; results are read from it until then."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors take nothing with them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattica.llm import common, decontam, html_extract, lm_score, packing, pii, quality, sharding, simhash, subwords, toxicity, url_filter
+from lattica.llm import attention, common, decontam, html_extract, lm_score, packing, pii, quality, sharding, simhash, subwords, toxicity, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, id string, score double"
 WORDS = "the of and to in a is that for it was on stone river cloud garden winter marble engine yellow silver planet copper forest".split()
@@ -414,45 +414,93 @@ def test_classifier_learns_and_swaps_do_not_matter(spark):
     assert abs(a - b) < 0.2 and max(a, b) < 0.5
 
 
-def test_gradient_of_the_model_is_right():
-    v = lm_score.Vocabulary(np.arange(5000)[::-1] % 97)
-    m = lm_score.Model(vocabulary=v)
-    rng = np.random.default_rng(0)
-    m.flat += rng.normal(0, 0.05, len(m.flat)).astype(np.float32)
-    data = lm_score.windows(rng.integers(0, 5000, 70), v)
-    before = m.flat.copy()
-    losses = [m.train(*data, 0.01, v) for _ in range(30)]
-    assert losses[-1] < losses[0] - 0.5 and not np.array_equal(before, m.flat)
-    assert sum(int(t.sum()) for t in [data[3]]) == 71
-
-
-def test_scores_are_of_a_distribution_and_windows_agree_with_one_by_one():
-    v = lm_score.Vocabulary(np.arange(200)[::-1])
-    m = lm_score.Model(vocabulary=v)
-    m.tables()
-    h = np.random.default_rng(1).normal(size=(1, lm_score.WIDTH)).astype(np.float32)
-    every = np.arange(v.size)
-    p = np.exp(m.log_probs(np.repeat(h, v.size, 0), v.cls[every], v.member[every]) + v.within[every])
-    assert p.sum() == pytest.approx(1, abs=1e-4)
-    ids = [np.random.default_rng(i).integers(0, 200, n) for i, n in enumerate((0, 1, 15, 16, 17, 100))]
-    together = lm_score.log10_scores(ids, m, v)
-    assert np.allclose(together, [lm_score.log10_scores([x], m, v)[0] for x in ids])
-
-
-def test_every_window_of_every_training_document_is_trained_on(monkeypatch):
-    import pyarrow as pa
-
-    path = lm_score.tokenizer_path()
-    encoder = lm_score.word_ids(path)
-    texts = [prose(1, 700).encode(), b"", prose(2, 30).encode(), prose(3, 5000).encode()]
-    v = lm_score.Vocabulary(np.ones(encoder.size))
-    seen = collections.Counter()
-    monkeypatch.setattr(lm_score.Model, "train", lambda self, x, pad, y, there, rate, vocabulary: seen.update(y[there].tolist()))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
-    (out,) = lm_score._average_batches(path, v, lm_score.Model(vocabulary=v).flat, 0.001)([batch])
-    ids = [encoder.ids(t.split()).tolist() for t in texts]
-    assert seen == collections.Counter([i for x in ids for i in [*x, v.end]])  # each subword once, and an end for each text only
-    assert out.column(1).to_pylist() == [sum(-(-(len(x) + 1) // lm_score.HALF) for x in ids)]
+def some_model(size=600, seed=0):
+    v = attention.Vocabulary(np.arange(size)[::-1] % 97)
+    rng = np.random.default_rng(seed)
+    return attention.Model(v, attention.Model(v).flat + rng.normal(0, 0.2, attention.Model(v).length))
+
+
+def plain_log10(m, ids):
+    """The probability of a text, worked out one subword at a time from the weights as the module describes them, in doubles."""
+    w, v, n = attention.WIDTH, m.vocabulary, attention.BLOCK
+    x, y, out = [v.end, *ids], [*ids, v.end], 0.0
+    e, proj, place = m.e.astype(float), m.proj.astype(float), m.place.astype(float)
+    for i in range(len(x)):
+        block = i // n
+        first = max(0, (block - 1) * n)
+        q = e[x[i]] @ proj[:, :w] / math.sqrt(w)
+        keys = np.array([e[t] @ proj[:, w : 2 * w] for t in x[first : i + 1]])
+        values = np.array([e[t] @ proj[:, 2 * w : 3 * w] for t in x[first : i + 1]])
+        at = np.arange(first, i + 1) - (block - 1) * n
+        s = np.exp(keys @ q + place[i - block * n, at])
+        h = np.append(np.tanh(s / s.sum() @ values @ m.a + e[x[i]] @ proj[:, 3 * w :] + m.b), 1)
+        leaf = int(v.leaf[y[i]])
+        for u, k in ((m.u0[0], leaf >> 8), (m.u1[leaf >> 8], leaf >> 4 & 15), (m.u2[leaf >> 4], leaf & 15)):
+            z = h @ u.astype(float)
+            out += z[k] - math.log(np.exp(z).sum())
+        out += float(v.within[y[i]])
+    return out / math.log(10)
+
+
+def test_scores_equal_attention_worked_out_one_by_one():
+    m = some_model()
+    texts = [np.random.default_rng(i).integers(0, 600, k) for i, k in enumerate((0, 1, 15, 16, 17, 31, 100))]
+    blocks = attention.Blocks(np.concatenate(texts).astype(np.int32), np.array([len(t) for t in texts]), m.vocabulary.end)
+    got = m.scores(blocks, m.tables(m.e), len(texts))
+    assert got == pytest.approx([plain_log10(m, t.tolist()) for t in texts], rel=1e-4)
+
+
+def test_probabilities_sum_to_one():
+    m = some_model()
+    h = np.append(np.random.default_rng(1).normal(size=attention.WIDTH), 1).astype(np.float32)
+    every = np.arange(m.vocabulary.size)
+    assert np.exp(m.log_probs(np.repeat(h[None], len(every), 0), every) + m.vocabulary.within).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_gradient_equals_finite_differences():
+    m = some_model(300, 3)
+    blocks = attention.Blocks(np.random.default_rng(4).integers(0, 300, 90).astype(np.int32), np.array([50, 0, 40]), m.vocabulary.end)
+    grad = np.zeros(m.length)
+    assert m.total_gradient(blocks, grad) == 93
+    loss = lambda: -sum(plain_log10(m, t.tolist()) for t in np.split(blocks.y[blocks.y >= 0], [51, 52]) for t in [t[:-1]]) * math.log(10)
+    parts = m.parts(grad)
+    for name, g in parts.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        own, step = getattr(m, name), 2e-3
+        kept = float(own[at])
+        own[at] = kept + step
+        up = loss()
+        own[at] = kept - step
+        assert (up - loss()) / (2 * step) == pytest.approx(float(g[at]), rel=2e-2, abs=1e-3), name
+        own[at] = kept
+
+
+def test_steps_lower_the_loss_and_equal_the_total_gradient():
+    m = some_model(300, 5)
+    blocks = attention.Blocks(np.random.default_rng(6).integers(0, 9, 900).astype(np.int32), np.array([900]), m.vocabulary.end)
+    before = m.scores(blocks, m.tables(m.e), 1)[0]
+    for _ in range(30):
+        m.train(*blocks.some(np.arange(len(blocks.x))), 0.01)
+    assert m.scores(blocks, m.tables(m.e), 1)[0] > before + 100
+    a, b = some_model(300, 7), some_model(300, 7)
+    grad = np.zeros(a.length)
+    n = a.total_gradient(blocks, grad)
+    a.step((grad / n).astype(np.float32), 0.01)
+    b.train(*blocks.some(np.arange(len(blocks.x))), 0.01)
+    assert np.abs(a.m - b.m).max() < 1e-5 * max(1, np.abs(a.m).max()) + 1e-6
+
+
+def test_every_window_of_every_training_document_is_trained_on_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "START_STEPS", 20)
+    monkeypatch.setattr(lm_score, "FREQUENT", 40)
+    rows = [doc(i, prose(i % 90, 20 + 7 * (i % 40))) for i in range(200)] + [doc(None, "")] * 60 + [doc(7, prose(7, 3000))] + [doc(500 + i, None) for i in range(3)]
+    trained = []
+    step = attention.Model.step
+    monkeypatch.setattr(attention.Model, "step", lambda self, grad, rate: (trained.append(rate), step(self, grad, rate))[1])
+    docs = spark.createDataFrame(rows, DOC)
+    one, many = ({(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in lm_score.score_texts(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.keys() == many.keys() and max(abs(one[k] - many[k]) / (1 + abs(one[k])) for k in one) < 1e-3
+    assert len(trained) == 2 * (20 + lm_score.ROUNDS)
 
 
 def test_base_scores_equal_brute_force(spark):
