@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
 from lattica.llm.sharding import row_numbers
-from lattica.llm.subwords import slices, split_words, tokenizer_path, word_ids
+from lattica.llm.subwords import evenly, split_words, tokenizer_path, word_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -120,7 +120,7 @@ def _piece_batches(path: str, capacity: int):
 
     def run(batches):
         encoder = word_ids(path)
-        for b in (part for big in batches for part in slices(big, 1)):
+        for b in evenly(batches, 1):
             ids, n = encoder.ids(*split_words(b.column(1)))
             data, first = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(n) - n
             many = -(-(n + 1) // capacity)  # pieces of each document, whose end counts as well

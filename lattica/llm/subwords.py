@@ -46,10 +46,43 @@ def slices(batch: pa.RecordBatch, column: int, most: int = BYTES_AT_ONCE):
         at = to
 
 
+def evenly(batches, column: int, most: int = BYTES_AT_ONCE):
+    """The rows of all batches, in order, in batches whose texts have about ``most`` bytes, a row at least."""
+    held, size = [], 0
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for big in batches:
+        for b in slices(big, column, most):
+            more = pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+            if held and size + more > most:
+                yield joined()
+                held, size = [], 0
+            held.append(b)
+            size += more
+    if held:
+        yield joined()
+
+
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+
+
+def own_memory(texts: pa.Array, lower: bool) -> pa.Array:
+    """Texts (null ones as empty) that start at the beginning of their buffers, with A-Z in lower case if asked for.
+
+    Arrow's own lower-casing gives wrong bytes for slices of an array, so none is handed on.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(SMALL[raw] if lower else raw)])
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of all texts in a row, and how many each text has; white space is ASCII's, a null text has none."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()).view(pa.large_string()), "")
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    parts = pc.ascii_split_whitespace(own_memory(texts, lower))
     words, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     there = np.concatenate(([0], np.cumsum(pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))))
     ends = ends - ends[0]
@@ -97,8 +130,6 @@ class WordIds:
         kind[128:] = REST
         kind[ord("'")] = REST  # may begin a contraction
         self.kind = kind
-        self.small = np.arange(256, dtype=np.uint8)
-        self.small[65:91] += 32
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -165,7 +196,7 @@ class WordIds:
         ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
         raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]] if words.buffers()[2] else np.empty(0, np.uint8)
         ends = ends - ends[0]
-        kind, low = self.kind[raw], self.small[raw]
+        kind, low = self.kind[raw], SMALL[raw]
         lead = np.flatnonzero(raw[:-1] == 0xC3)  # Latin-1's letters: this byte and one of 80 to BF, but for two signs
         tail = raw[lead + 1]
         fits = (tail >= 0x80) & (tail < 0xC0) & (tail != 0x97) & (tail != 0xB7)

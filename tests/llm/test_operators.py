@@ -391,10 +391,24 @@ def test_ids_equal_the_tokenizer_on_any_text(texts):
     assert ids.tolist() == [i for t in texts for i in w.tokenizer.encode(t, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("lower", [False, True])
+def test_words_of_slices_equal_plain_splitting(lower):
+    texts = [None if i % 11 == 5 else f" {prose(i, 30 * (i % 5)).title()}  É\t{i}" for i in range(60)]
+    for a in (pa.array(texts), pa.array(texts).cast(pa.binary())):
+        for i, j in ((0, 60), (7, 60), (13, 20), (5, 5)):
+            words, n = subwords.split_words(a.slice(i, j - i), lower)
+            want = [(t or "").encode() for t in texts[i:j]]
+            want = [(t.lower() if lower else t).split() for t in want]
+            assert words.to_pylist() == [w for t in want for w in t] and n.tolist() == [len(t) for t in want]
+
+
 def test_slices_hold_all_rows():
     b = pa.RecordBatch.from_arrays([pa.array(["a" * k if k % 3 else None for k in range(40)])], ["t"])
     parts = list(subwords.slices(b, 0, 50))
     assert pa.Table.from_batches(parts).column(0).to_pylist() == b.column(0).to_pylist() and len(parts) > 5
+    parts = list(subwords.evenly([b, b.slice(3, 0), b.slice(5, 9), b], 0, 200))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == [*b.column(0).to_pylist(), *b.column(0).to_pylist()[5:14], *b.column(0).to_pylist()]
+    assert len(parts) > 5 and list(subwords.evenly([], 0)) == []
 
 
 def test_classifier_learns_and_swaps_do_not_matter(spark):
