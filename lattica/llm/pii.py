@@ -53,9 +53,10 @@ def of_category(*categories: str) -> str:
 UPPER, LOWER, CASELESS, MARK = of_category("Lu", "Lt"), of_category("Ll"), of_category("Lo"), of_category("Mn", "Mc")
 #: A capitalised name, of one or two parts, or a run of letters of a script without capitals.
 CAPITAL = rf"(?:[{UPPER}][{MARK}]*(?:[{LOWER}][{MARK}]*)+(?:-[{UPPER}][{MARK}]*(?:[{LOWER}][{MARK}]*)+)?|[{CASELESS}][{CASELESS}{MARK}]*)"
+NAME = re.compile(rf"(?<![\w]){CAPITAL}(?![\w])")
 FOUND = re.compile(
-    r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}))"
+    r"(?<![\w.%+-])(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"|(?<![A-Za-z0-9_-])(?P<key>(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}))"
     r"|\b(?i:token|password|passwd|pwd|secret|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[^\s\"'&]{6,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)"
@@ -72,11 +73,18 @@ ACCENTED, CYRILLIC = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüý
 COMMON_SETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ACCENTED, ACCENTED.upper(), CYRILLIC, CYRILLIC.upper()]
 #: After so many surrogates of its shape that were taken, an address, key, secret or surname gets one of another shape.
 MOST_SHAPED = 16
+#: No corpus needs so many attempts; to need more is an error, not a loop without end.
+MOST_ATTEMPTS = 64
+#: Strings of more characters are replaced by a keyed stream instead of a permutation, in time that grows with their length.
+LONG = 64
+# Calling codes of one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 DIGIT_KINDS = frozenset(("ssn", "card", "phone"))
 
 
 def keyed(key: bytes, *parts) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode(), key=key, digest_size=8).digest(), "big")
+    named = "\0".join(f"{x:x}" if isinstance(x, int) else x for x in parts)
+    return int.from_bytes(hashlib.blake2b(named.encode("utf-8", "surrogatepass"), key=key, digest_size=8).digest(), "big")
 
 
 def permuted(x: int, n: int, key: bytes, *tweak) -> int:
@@ -118,9 +126,9 @@ def alphabet(c: str) -> str | None:
 
 
 def shapes(s: str) -> int:
-    """How many strings have the shape of s."""
+    """How many strings have the shape of s (of its first LONG characters, if it is longer)."""
     n = 1
-    for c in s:
+    for c in s[:LONG]:
         n *= len(alphabet(c) or "-")
     return n
 
@@ -139,6 +147,10 @@ def reshaped(s: str, key: bytes, *tweak) -> str:
     """Another string of the same shape: digits for digits, letters for letters of their case and script, hexadecimal as such; the rest stays."""
     hexa = re.fullmatch(r"[0-9a-f]+", s) and re.search(r"[a-f]", s) and re.search(r"\d", s) and len(s) >= 12
     own = ["0123456789abcdef"] * len(s) if hexa else [alphabet(c) for c in s]
+    if len(s) > LONG:  # a keyed stream; its chance of a repeat is none to speak of, and it would be found like any other
+        named = "\0".join((s, *map(str, tweak))).encode("utf-8", "surrogatepass")
+        stream = hashlib.shake_256(hashlib.blake2b(named, key=key).digest()).digest(2 * len(s))
+        return "".join(a[(stream[2 * i] << 8 | stream[2 * i + 1]) % len(a)] if a else c for i, (c, a) in enumerate(zip(s, own, strict=True)))
     x, n = 0, 1
     for c, a in zip(s, own, strict=True):
         if a:
@@ -153,6 +165,13 @@ def reshaped(s: str, key: bytes, *tweak) -> str:
     return "".join(reversed(out))
 
 
+@lru_cache(256)
+def next_name(names: tuple[str, ...], key: bytes, attempt: int) -> dict[str, str]:
+    """Each name and the one behind it in a keyed circle, so none stands for itself and no two share one."""
+    order = sorted(names, key=lambda n: keyed(key, "first", attempt, n))
+    return dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
 def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10
 
@@ -190,18 +209,23 @@ def surrogate(kind: str, atom: str, attempt: int, key: bytes = KEY) -> str:
         name, dot, top = host.rpartition(".")
         return f"{(fresh if late or shapes(local) < 2 else reshaped)(local, key, *t)}@{reshaped(name, key, *t)}{dot}{top}"
     if kind == "first":
-        names = FIRST_NAMES[NAME_GENDER[atom]]
-        return names[permuted(names.index(atom), len(names), key, *t)]
+        return next_name(tuple(FIRST_NAMES[NAME_GENDER[atom]]), key, attempt)[atom]
     if kind == "surname" and script(atom) == "other" and not late and shapes(atom) > 1:
         return reshaped(atom, key, *t)
     if kind == "surname":
         x, (cons, vowels) = keyed(key, atom, *t), SYLLABLES["cyrillic" if script(atom) == "cyrillic" else "latin"]
-        out = []
-        for _ in range(max(3, min(6, len(atom) // 2)) + (3 if late else 0)):
-            x, c = divmod(x, len(cons))
-            x, v = divmod(x, len(vowels))
-            out.append(cons[c] + vowels[v])
-        return "".join(out).capitalize()
+        parts = []
+        for part in atom.split("-"):  # as many parts, each of about the length it had
+            out = []
+            for i in range(max(3, min(12, len(part) // 2)) + (3 if late else 0)):
+                x = x if x else keyed(key, atom, "more", i, *t)
+                x, c = divmod(x, len(cons))
+                x, v = divmod(x, len(vowels))
+                out.append(cons[c] + vowels[v])
+            if len(part) % 2 and len(part) > 6:
+                out.append(cons[x % len(cons)])
+            parts.append("".join(out).capitalize())
+        return "-".join(parts)
     if kind == "secret" and (late or shapes(atom) < 2):
         return fresh(atom, key, *t)
     return reshaped(atom, key, *t)
@@ -216,8 +240,11 @@ def atoms_of(m: re.Match) -> list[tuple[str, str, int, int]]:
         if kind in ("ssn", "card"):
             s = re.sub(r"\D", "", s)
         elif kind == "phone":
-            s = re.sub(r"[^\d+]+", " ", s).strip()
-            s = s.split(" ", 1)[0] + " " + s.split(" ", 1)[1].replace(" ", "") if s[0] == "+" and " " in s else s.replace(" ", "")
+            digits = re.sub(r"\D", "", s)
+            if s[0] == "+":  # its calling code and the rest, in whatever layout
+                code = next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3)
+                digits = f"+{digits[:code]} {digits[code:]}"
+            s = digits
         elif kind == "iban":
             s = s.replace(" ", "")
         elif kind in ("email", "ip6"):
@@ -237,9 +264,20 @@ def atoms_of(m: re.Match) -> list[tuple[str, str, int, int]]:
 
 
 def found_in(text: str | None) -> list[tuple[str, str, int, int]]:
+    """All atoms of a text in order; names that stand with a title or a first name once are found where they stand alone as well."""
     if not text or not HINT.search(text):
         return []
-    return [a for m in FOUND.finditer(text) for a in atoms_of(m)]
+    found = [a for m in FOUND.finditer(text) for a in atoms_of(m)]
+    names = {s: kind for kind, s, _, _ in found if kind in ("surname", "first")}
+    if not names:
+        return found
+    taken, at, alone = [(a, b) for _, _, a, b in found], 0, []
+    for m in NAME.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if m[0] in names and (at == len(taken) or m.end() <= taken[at][0]):
+            alone.append((names[m[0]], m[0], m.start(), m.end()))
+    return sorted(found + alone, key=lambda a: a[2]) if alone else found
 
 
 def laid_out(kind: str, seen: str, new: str) -> str:
@@ -282,6 +320,7 @@ def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     distinctness counts (which the permutation gives).
     """
     atoms = docs.select("text").mapInArrow(_atom_batches, "kind string, atom string").distinct()
+    rounds = 0
     table = cut(atoms.withColumn("attempt", F.lit(0)).mapInArrow(_surrogate_batches(key), "kind string, atom string, attempt int, surrogate string"))
     while True:
         first = table.groupBy("kind", "surrogate").agg(F.min("atom").alias("atom"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -291,16 +330,23 @@ def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         clash = cut(twice.unionByName(taken).distinct())
         if not clash.head(1):
             return table
+        if (rounds := rounds + 1) > MOST_ATTEMPTS:
+            raise RuntimeError(f"after {MOST_ATTEMPTS} attempts some surrogates are still taken")
         again = table.join(clash.withColumn("again", F.lit(1)), ["kind", "atom"], "left").select("kind", "atom", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt"))
         table = cut(again.mapInArrow(_surrogate_batches(key), "kind string, atom string, attempt int, surrogate string"))
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY, most_exceptions: int = MOST_EXCEPTIONS) -> DataFrame:
-    """docs with the text replaced by one with surrogates, and a column pii_kinds of what was replaced.
+def surrogates(docs: DataFrame, key: bytes = KEY, most_exceptions: int = MOST_EXCEPTIONS, kinds: str | None = "pii_kinds") -> DataFrame:
+    """docs with the text replaced by one with surrogates, and a column ``kinds`` of what was replaced (none if that is None).
 
     A null text stays null; texts without personal data stay as they are. Other
-    columns, null ids and repeated rows are kept.
+    columns, null ids and repeated rows are kept; where docs have a column of that
+    name, theirs stays and the new one has ``_1`` (or the next free number) behind
+    its name. Texts and secrets of any length are read and replaced whole, in time
+    that grows with their length.
     """
+    if kinds:
+        kinds = next(n for n in (kinds, *(f"{kinds}_{i}" for i in range(1, len(docs.columns) + 2))) if n not in docs.columns)
     later = attempts(docs, key).filter("attempt > 0").select("kind", "atom", "attempt")
     few = later.limit(most_exceptions + 1).collect()
     name, row = "__pii_row", "__pii_id"
@@ -331,7 +377,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, most_exceptions: int = MOST_EX
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string())), b.column(2)], ["__pii_text", "own", name])
 
     done = rows.mapInArrow(run, schema)
-    return done.select(*[F.col("__pii_text").alias(c) if c == "text" else F.col(f"{name}.`{c}`").alias(c) for c in docs.columns], F.col("own").alias("pii_kinds"))
+    return done.select(*[F.col("__pii_text").alias(c) if c == "text" else F.col(f"{name}.`{c}`").alias(c) for c in docs.columns], *[F.col("own").alias(k) for k in (kinds,) if k])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

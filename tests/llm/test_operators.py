@@ -236,6 +236,48 @@ def brute_components(prints, radius):
     return [find(i) for i in range(len(prints))]
 
 
+def test_no_text_takes_more_than_linear_time():
+    import time
+
+    for t in ("5" * 200_000, "a" * 200_000 + "@", "eyJ-" * 50_000, "password: " + "x1Y" * 300_000, "password=" + "密" * 100_000, "sk-" + "ab1_" * 50_000, "Mr Ann " + "Bob " * 50_000):
+        start = time.process_time()
+        new, kinds = pii.replaced(t, {})
+        assert time.process_time() - start < 12 and len(new) >= len(t) * (0.2 if "Bob" in t else 1)
+        assert ("secret" in kinds) == t.startswith("password")
+
+
+def test_names_alone_phones_of_any_layout_and_no_fixed_points():
+    new, kinds = pii.replaced("Mr John Smith called. Later Smith left. John too, not Smithson.", {})
+    first, last = pii.surrogate("first", "John", 0), pii.surrogate("surname", "Smith", 0)
+    assert new == f"Mr {first} {last} called. Later {last} left. {first} too, not Smithson." and kinds == ["first", "surname", "surname", "first"]
+    a, _ = pii.replaced("call +1 (988) 555-2485 now", {})
+    b, _ = pii.replaced("call +19885552485 now", {})
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and a.startswith("call +1 (") and b.startswith("call +1")
+    for names in pii.FIRST_NAMES.values():
+        new = [pii.surrogate("first", n, 0) for n in names]
+        assert sorted(new) == sorted(names) and not any(x == y for x, y in zip(new, names, strict=True))
+    assert pii.surrogate("surname", "Meyer-Schulz", 0).count("-") == 1 and abs(len(pii.surrogate("surname", "Wintergarten", 0)) - 12) <= 1
+
+
+def test_kinds_column_may_clash(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.org", "mine")], "doc_id long, text string, pii_kinds string")
+    got = pii.surrogates(docs)
+    assert got.columns == ["doc_id", "text", "pii_kinds", "pii_kinds_1"] and got.first()["pii_kinds"] == "mine" and got.first()["pii_kinds_1"] == ["email"]
+    assert pii.surrogates(docs, kinds=None).columns == docs.columns
+
+
+def test_surrogates_equal_replacement_atom_by_atom(spark):
+    texts = ["Mr Paul Weaver, 10.0.0.1, paul@x.org", "Paul Weaver and 10.0.0.1", None, "", "nothing", "card 4111 1111 1111 1111 or 4111-1111-1111-1111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tries = {(r["kind"], r["atom"]): r["attempt"] for r in pii.attempts(docs).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(docs).collect()}
+    for i, t in enumerate(texts):
+        want = t
+        for kind, atom, a, b in reversed(pii.found_in(t)):
+            want = want[:a] + pii.laid_out(kind, t[a:b], pii.surrogate(kind, atom, tries[kind, atom])) + want[b:]
+        assert got[i] == want
+
+
 def test_simhash_equals_brute_force(spark):
     base = prose(1, 300).split()
     texts = [prose(i, 120) for i in range(60)]
