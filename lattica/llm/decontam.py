@@ -1,20 +1,23 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Only windows around a shingle that some item has can be similar to an item at
-all, so a document's words are first looked up in the benchmark's vocabulary and
-shingles; that loses nothing and leaves few places. At those, each window as long
-as an item gets a SimHash fingerprint of its shingles. Fingerprints are cut into
-blocks; items are indexed under every value a block may have within its part of
-the radius, so that by the pigeonhole principle every item within the radius is
-found. Candidates are then verified by weighted shingle similarity: shingles
-weigh as often as they occur, the sum of lesser weights over that of greater.
+A window as long as an item gets a SimHash fingerprint: the sum of its shingles'
+hashed bits, which rolls along the text. Windows that share no shingle at all
+with any item of their length have similarity 0 and are passed over; every other
+one is looked up. Fingerprints are cut into blocks; items are indexed under every
+value a block may have within its part of the radius, so that by the pigeonhole
+principle every item within the radius is proposed. Candidates are then verified
+by weighted shingle similarity: shingles weigh as often as they occur, the sum of
+lesser weights over that of greater. At similarity 0.8 about 10 of 64 bits are
+expected to differ, with a deviation of 3, so about one pair in 50,000 at just
+0.8 lies beyond the radius of 22 and is missed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits in which a window of similarity 0.8 may differ: about 10 are expected, with a deviation of 3.
 RADIUS, BLOCKS = 22, 8
 WORD = re.compile(r"[^\W_]+")
-#: The index is sent to all tasks; a benchmark of more words is taken in parts of so many, a pass over the documents for each.
-MOST_WORDS = 2_000_000
+#: The index is sent to all tasks, so a benchmark of more words (an item counts as ITEM_WORDS more) is taken in parts of so
+#: many, a pass over the documents for each. A part takes under 100 MB: about 300 bytes a word and 2 KB an item.
+MOST_WORDS, ITEM_WORDS = 250_000, 40
+WINDOWS_AT_ONCE = 4096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,17 +74,17 @@ class Index:
         self.short = sorted({len(g) for g in self.grams if len(g) < shingle})
         whole = np.array([g for g in self.grams if len(g) == shingle], np.int64).reshape(-1, shingle)
         self.mixed = np.unique(self._mix(list(whole.T)))
-        self.bits = np.array([self._bits(g) for g in self.grams], np.int32).reshape(-1, 64)
-        width = 64 // BLOCKS
-        share = radius // BLOCKS
-        flips = [sum(1 << b for b in c) for n in range(share + 1) for c in combinations(range(width), n)]
-        self.table: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        self.prints = [self._fold(sum((self.bits[g] * n for g, n in bag.items()), np.zeros(64, np.int64))) for bag in self.bags]
-        for k, f in enumerate(self.prints):
-            for b in range(BLOCKS):
-                value = f >> (b * width) & (1 << width) - 1
-                for x in flips:
-                    self.table[b].setdefault(value ^ x, []).append(k)
+        #: by length: items of that length, their fingerprints, and for each block which of them a value proposes
+        self.of_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for span in sorted(set(self.lengths)):
+            if span < shingle:
+                continue
+            items = np.array([k for k, n in enumerate(self.lengths) if n == span])
+            sums = np.stack([self._bits([" ".join(lists[k][i : i + shingle]) for i in range(span - shingle + 1)]).sum(0, dtype=np.int64) for k in items])
+            prints = self._fold(sums)
+            blocks = prints.view(np.uint8).reshape(len(items), BLOCKS)
+            near = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ blocks.T[:, None, :]) <= radius // BLOCKS
+            self.of_length[span] = items, prints, near
 
     @staticmethod
     def _mix(columns: list[np.ndarray]) -> np.ndarray:
@@ -91,19 +95,25 @@ class Index:
         return out
 
     @staticmethod
-    def _bits(gram: tuple) -> np.ndarray:
-        h = xxhash.xxh64_digest(",".join(map(str, gram)).encode(), 42)
-        return np.unpackbits(np.frombuffer(h, np.uint8)).astype(np.int32) * 2 - 1
+    def _bits(shingles: list[str]) -> np.ndarray:
+        """1 or -1 for each of 64 hashed bits (XXH64, seed 42), a row for each shingle's words."""
+        h = np.frombuffer(b"".join([xxhash.xxh64_digest(x.encode("utf-8", "surrogatepass"), 42) for x in shingles]), np.uint8)
+        return np.unpackbits(h.reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
 
     @staticmethod
-    def _fold(sums: np.ndarray) -> int:
-        return int.from_bytes(np.packbits(sums > 0).tobytes(), "big")
-
-    def within(self, f: int) -> list[int]:
-        """Every item whose fingerprint lies within the radius of f."""
-        width = 64 // BLOCKS
-        found = {k for b in range(BLOCKS) for k in self.table[b].get(f >> (b * width) & (1 << width) - 1, ())}
-        return [k for k in found if (self.prints[k] ^ f).bit_count() <= self.radius]
+    def _fold(sums: np.ndarray) -> np.ndarray:
+        return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+
+    def within(self, span: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, place among the items of that length) of all pairs within the radius: blocks propose, counted bits decide."""
+        _, own, near = self.of_length[span]
+        values = prints.view(np.uint8).reshape(-1, BLOCKS)
+        proposed = np.zeros((len(prints), len(own)), bool)
+        for b in range(BLOCKS):
+            proposed |= near[b][values[:, b]]
+        w, k = np.nonzero(proposed)
+        close = np.bitwise_count(prints[w] ^ own[k]) <= self.radius
+        return w[close], k[close]
 
     def matches(self, text: str | None) -> dict[int, tuple[float, int]]:
         """By item (its place in the index): the best similarity of a window, and the first word of the first such window."""
@@ -132,40 +142,41 @@ class Index:
                         best.setdefault(k, (1.0, i))
         if not known:
             return best
-        by_length: dict[int, set[int]] = {}
+        spans: dict[int, list[int]] = {}
         for i, g in known.items():
-            for k in self.items_of[g]:
-                if self.lengths[k] >= self.shingle:
-                    span = self.lengths[k]
-                    by_length.setdefault(span, set()).update(range(max(0, i - span + self.shingle), min(i, max(0, n - span)) + 1))
-        order = sorted(known)
-        places = np.array(order)
-        for span, starts in by_length.items():
+            for span in {self.lengths[k] for k in self.items_of[g]}:
+                spans.setdefault(span, []).append(i)
+        last = n - self.shingle + 1
+        windows, needed = {}, np.zeros(last + 1, np.int32)
+        for span, places in spans.items():
             count = span - self.shingle + 1
-            for s in sorted(starts):
-                a, b = np.searchsorted(places, (s, s + count))
-                total = min(count, n - s - self.shingle + 1)
-                if b - a < self.least * count:
-                    continue  # too few of its shingles are any item's for a similarity to an item of its length
-                bag = Counter(known[i] for i in order[a:b])
-                f = self._fold(self._sums(codes, s, total, known))
-                for k in self.within(f):
-                    if self.lengths[k] != span:
-                        continue
+            total = min(count, last)  # a text shorter than the item is one window
+            edge = np.zeros(last + 1, np.int32)  # starts of windows with any of these places
+            at = np.array(places)
+            np.add.at(edge, np.maximum(0, at - count + 1), 1)
+            np.add.at(edge, np.minimum(at, last - total) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            windows[span] = starts, total
+            np.add.at(needed, starts, 1)
+            np.add.at(needed, starts + total, -1)
+        hashed = np.flatnonzero(np.cumsum(needed[:-1]) > 0)
+        bits = self._bits([" ".join(words[i : i + self.shingle]) for i in hashed.tolist()])
+        rolled = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, 0, dtype=np.int32)))
+        order = sorted(known)
+        for span, (starts, total) in windows.items():
+            items = self.of_length[span][0]
+            for i in range(0, len(starts), WINDOWS_AT_ONCE):
+                some = starts[i : i + WINDOWS_AT_ONCE]
+                first = np.searchsorted(hashed, some)  # a window's shingles are all hashed, so they stand side by side
+                for w, k in zip(*(x.tolist() for x in self.within(span, self._fold(rolled[first + total] - rolled[first]))), strict=True):
+                    k, s = int(items[k]), int(some[w])
+                    bag = Counter(known[j] for j in order[bisect_left(order, s) : bisect_left(order, s + total)])
                     both = sum((bag & self.bags[k]).values())
                     sim = both / (total + self.bags[k].total() - both)
                     if sim >= self.least and sim > best.get(k, (0.0, 0))[0]:
                         best[k] = (sim, s)
         return best
 
-    def _sums(self, codes: np.ndarray, start: int, count: int, known: dict[int, int]) -> np.ndarray:
-        out = np.zeros(64, np.int64)
-        for i in range(start, start + count):
-            g = known.get(i)
-            # Shingles that no item has count as well; unknown words stand for themselves by place, as noise.
-            out += self.bits[g] if g is not None else self._bits((*codes[i : i + self.shingle].tolist(), -i))
-        return out
-
 
 def _batches(index: Index):
     def run(batches):
@@ -186,7 +197,7 @@ def indexes(benchmark: DataFrame, **how):
     part, words = [], 0
     for r in rows.distinct().orderBy("item_id", "text").toLocalIterator():
         part.append((r["item_id"], r["text"]))
-        words += len(r["text"].split())
+        words += len(words_of(r["text"])) + ITEM_WORDS
         if words >= MOST_WORDS:
             yield Index(part, **how)
             part, words = [], 0
@@ -200,6 +211,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spacing don't matter. Items of fewer than five words must occur as they are;
     those without a word match nothing. Null texts match nothing; null ids and
     repeated rows are reported like any other. An empty benchmark gives no rows.
+    Texts of any length are read whole; of windows with the same similarity the
+    first counts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
     out = None

@@ -368,6 +368,33 @@ def test_decontamination_equals_brute_force(spark):
     assert clean == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_blocks_propose_all_within_the_radius_and_place_does_not_matter():
+    items = [(i, prose(i, 30)) for i in range(40)]
+    index = decontam.Index(items)
+    _, own, _ = index.of_length[30]
+    rng = np.random.default_rng(3)
+    prints = np.array([int(own[i % 40]) ^ sum(1 << int(b) for b in rng.choice(64, i % 30, replace=False)) for i in range(400)], np.uint64)
+    got = set(zip(*(x.tolist() for x in index.within(30, prints)), strict=True))
+    assert got == {(w, k) for w in range(400) for k in range(40) if (int(prints[w]) ^ int(own[k])).bit_count() <= decontam.RADIUS}
+    assert not decontam.Index([]).matches(prose(1, 50)) and not index.matches(None) and not index.matches("")
+    words = items[3][1].split()
+    changed = " ".join([*words[:14], "other", *words[15:]])
+    for n in (0, 7, 200):
+        text = f"{prose(91, n)} {changed}"
+        assert (3 in index.matches(text)) == (decontam.similarity(*(collections.Counter(zip(*[t.split()[k:] for k in range(5)])) for t in (changed, items[3][1]))) >= 0.8)
+
+
+def test_few_pairs_at_the_least_similarity_lie_beyond_the_radius():
+    far, n = 0, 0
+    for seed in range(300):
+        w = prose(seed, 40).split()
+        other = [*w[:-4], *prose(1000 + seed, 4).split()]  # 32 of 40 shingles by all
+        a, b = (decontam.Index._fold(decontam.Index._bits([" ".join(t[i : i + 5]) for i in range(36)]).sum(0)[None]) for t in (w, other))
+        far += int(np.bitwise_count(a ^ b)[0]) > decontam.RADIUS
+        n += 1
+    assert far <= 1 and n == 300
+
+
 def test_dominance_packs_as_well_as_an_exact_search():
     from functools import lru_cache
 
