@@ -3,8 +3,11 @@
 All visible text comes out, in document order: blocks on lines of their own with
 a blank line around paragraphs and headings, list items with bullets or numbers
 and indented by depth, table cells padded so that columns line up, preformatted
-text as it stands. Elements that never show, or that attributes or simple style
-rules hide, are left out with all they hold.
+text as it stands. What never shows, or what attributes or style rules on simple
+selectors hide, is left out: the most specific and then the last rule counts,
+rules for other media don't, and what is visible again within something invisible
+comes out. Of controls the text they show counts: chosen options, values of
+buttons and fields. A closed ``details`` shows its summary only.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import re
 from bisect import bisect
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 # Groups of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noembed noframes param svg math select".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noembed noframes param datalist annotation annotation-xml desc defs metadata".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure article section".split())
 CLOSES_P = BLOCK - frozenset("dd dt li optgroup option tbody tfoot thead tr caption body html legend".split()) | {"table"}
@@ -38,8 +42,10 @@ KEEP_P = ("td", "th", "li", "button", "table", "caption", "object")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-STYLE_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+#: Input types that show no text of theirs.
+SILENT = frozenset("hidden checkbox radio image file password color range".split())
+ASCII_SPACE = " \t\n\r\f"
 SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -51,10 +57,10 @@ class Element:
         self.name, self.attributes, self.children = name, attributes, []
 
 
-def parse(html: str) -> tuple[Element, set]:
-    """The tree under a root, and the selectors (element, mark, name) that its style sheets hide."""
+def parse(html: str) -> tuple[Element, str]:
+    """The tree under a root, and the text of its style sheets."""
     root = Element("", {})
-    open_, hidden, at = [root], set(), 0
+    open_, sheets, at = [root], [], 0
     places: dict[str, list[int]] = {}  # where in open_ elements of each name are
 
     def close_to(i: int) -> None:
@@ -120,7 +126,8 @@ def parse(html: str) -> tuple[Element, set]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(html, at)
             inner = html[at : end.start() if end else len(html)]
             if name == "style":
-                hidden |= hiding(inner)
+                if not attributes.get("media") or on_screen(attributes["media"]):
+                    sheets.append(inner)
             elif name in ("textarea", "title"):
                 text(inner)
             at = end.start() if end else len(html)
@@ -128,29 +135,101 @@ def parse(html: str) -> tuple[Element, set]:
                 close_to(len(open_) - 1)
     if at < len(html):
         text(html[at:])
-    return root, hidden
+    return root, "\n".join(sheets)
 
 
-def hiding(css: str) -> set:
-    out = set()
-    for m in STYLE_RULE.finditer(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-        if HIDING.search(m[2]):
-            for s in m[1].split(","):
-                if (x := SIMPLE.match(s.strip())) and s.strip():
-                    out.add((x[1].lower() if x[1] else "", x[2] or "", x[3] or ""))
+def on_screen(media: str) -> bool:
+    """Whether one of a list of media queries is for screens; conditions of size and the like are taken as met."""
+    kinds = [re.match(r"\s*(not\s+|only\s+)?([a-z-]*)", q.lower()) for q in media.split(",")]
+    return any((k[2] in ("", "all", "screen", "and")) != (k[1] or "").startswith("not") for k in kinds)
+
+
+def rules_of(css: str) -> dict[tuple[str, str, str], list[tuple]]:
+    """What style sheets say of display and visibility: by selector (element, mark, name), (property, (important, specificity, place), value)."""
+    out: dict[tuple[str, str, str], list[tuple]] = {}
+    css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
+    at, inside, place = 0, [], 0  # inside: whether each open at-rule's rules count
+    for m in re.finditer(r"([^{};]*)([{};])|[^{};]+\Z", css):
+        if m.start() < at or not m[2]:
+            continue
+        head = m[1].strip()
+        if m[2] == "}":
+            if inside:
+                inside.pop()
+        elif m[2] == "{" and head.startswith("@"):
+            kind, _, rest = head[1:].partition(" ")
+            kind = kind.lower()
+            inside.append(on_screen(rest) if kind == "media" else kind in ("supports", "layer", "container"))
+        elif m[2] == "{":
+            end = css.find("}", m.end())
+            body, at = css[m.end() : end if end >= 0 else len(css)], (end + 1 if end >= 0 else len(css))
+            if all(inside):
+                for s in head.split(","):
+                    if s.strip() and (x := SIMPLE.match(s.strip())):
+                        key = (x[1].lower() if x[1] else "", x[2] or "", x[3] or "")
+                        rank = {"#": 100, ".": 10, "": 0}[key[1]] + bool(key[0])
+                        for d in DECLARED.finditer(body):
+                            place += 1
+                            out.setdefault(key, []).append((d[1].lower(), (bool(d[3]), rank, place), d[2].lower()))
     return out
 
 
-def shown(e: Element, hidden: set) -> bool:
-    a = e.attributes
-    if e.name in HIDDEN or "hidden" in a or (e.name == "dialog" and "open" not in a) or (e.name == "input"):
-        return False
-    if "style" in a and HIDING.search(a["style"]):
-        return False
-    if hidden:
+def styles(e: Element, rules: dict) -> dict[str, str]:
+    """The element's own display and visibility, where attributes or rules give any."""
+    a, best = e.attributes, {}
+    found = [("display", (False, -1, 0), "none")] if "hidden" in a else []
+    if rules:
         names = [("", "")] + [(".", c) for c in a.get("class", "").split()] + ([("#", a["id"])] if "id" in a else [])
-        return not any((n, mark, x) in hidden for mark, x in names for n in (e.name, ""))
-    return True
+        found += [d for mark, x in names for n in {e.name, ""} for d in rules.get((n, mark, x), ())]
+    if "style" in a:
+        found += [(d[1].lower(), (bool(d[3]), 1000, i), d[2].lower()) for i, d in enumerate(DECLARED.finditer(a["style"]))]
+    for what, rank, value in found:
+        if what not in best or best[what][0] <= rank:
+            best[what] = rank, value
+    return {what: value for what, (_, value) in best.items()}
+
+
+def shown_children(e: Element) -> list:
+    """Children that an element's own kind lets show."""
+    if e.name == "details" and "open" not in e.attributes:
+        first = next((c for c in e.children if isinstance(c, Element) and c.name == "summary"), None)
+        return [] if first is None else [first]
+    if e.name == "select" and "multiple" not in e.attributes and e.attributes.get("size", "1") in ("", "0", "1"):
+        options, left = [], list(reversed(e.children))
+        while left:
+            c = left.pop()
+            if isinstance(c, Element):
+                if c.name == "option":
+                    options.append(c)
+                else:
+                    left += reversed(c.children)
+        chosen = [c for c in options if "selected" in c.attributes]
+        return [x for c in (chosen[-1:] or options[:1]) for x in c.children]
+    if e.name == "input" and e.attributes.get("type", "text").lower() not in SILENT:
+        return [e.attributes.get("value", "")]
+    return e.children
+
+
+def only_visible(root: Element, rules: dict) -> None:
+    """Take what doesn't show out of the tree."""
+    left = [(root, True)]
+    while left:
+        e, visible = left.pop()
+        kept = []
+        for c in shown_children(e):
+            if isinstance(c, str):
+                if visible:
+                    kept.append(c)
+                continue
+            if c.name in HIDDEN or (c.name == "title" and e.name in ("svg", "g")) or (c.name == "dialog" and "open" not in c.attributes):
+                continue
+            own = styles(c, rules)
+            if own.get("display") == "none":
+                continue
+            seen = {"visible": True, "hidden": False, "collapse": False}.get(own.get("visibility"), visible)
+            kept.append(c)
+            left.append((c, seen))
+        e.children = kept
 
 
 class Lines:
@@ -209,13 +288,11 @@ def run(step):
     return value
 
 
-def lay_out(e: Element, hidden: set, out: Lines, depth: int = 0):
+def lay_out(e: Element, out: Lines, depth: int = 0):
     for c in e.children:
         if isinstance(c, str):
             out.add(c)
             continue
-        if not shown(c, hidden):
-            continue
         name = c.name
         if name == "br":
             out.now = out.now or [""]
@@ -223,26 +300,26 @@ def lay_out(e: Element, hidden: set, out: Lines, depth: int = 0):
         elif name == "hr":
             out.end(True)
         elif name in ("ul", "ol", "menu", "dir"):
-            yield items(c, hidden, out, depth)
+            yield items(c, out, depth)
         elif name == "table":
-            out.take((yield table(c, hidden)), True)
+            out.take((yield table(c)), True)
         elif name in ("pre", "xmp"):
-            raw = plain(c, hidden)
+            raw = plain(c)
             out.take((raw[1:] if raw.startswith("\n") else raw).rstrip("\n").split("\n") if raw.strip() else [], True)
         elif name in ("blockquote", "dd"):
             inner = Lines()
-            yield lay_out(c, hidden, inner, depth)
+            yield lay_out(c, inner, depth)
             inner.end()
             out.take(inner.lines, name == "blockquote", "  ", "  ")
         elif name in BLOCK:
             out.end(name in SPACED)
-            yield lay_out(c, hidden, out, depth)
+            yield lay_out(c, out, depth)
             out.end(name in SPACED)
         else:
-            yield lay_out(c, hidden, out, depth)
+            yield lay_out(c, out, depth)
 
 
-def items(e: Element, hidden: set, out: Lines, depth: int):
+def items(e: Element, out: Lines, depth: int):
     blank = depth == 0
     out.end(blank)
     start = e.attributes.get("start", "1")
@@ -252,20 +329,18 @@ def items(e: Element, hidden: set, out: Lines, depth: int):
             loose = Element("", {})
             loose.children = [c]
             inner, mark = Lines(), ""
-            yield lay_out(loose, hidden, inner, depth + 1)
-        elif shown(c, hidden):
+            yield lay_out(loose, inner, depth + 1)
+        else:
             mark = f"{n}. " if e.name == "ol" else "- "
             n += 1
             inner = Lines()
-            yield lay_out(c, hidden, inner, depth + 1)
-        else:
-            continue
+            yield lay_out(c, inner, depth + 1)
         inner.end()
         out.take(inner.lines, False, mark, " " * len(mark) or "  ")
     out.end(blank)
 
 
-def plain(e: Element, hidden: set) -> str:
+def plain(e: Element) -> str:
     """Its text as it stands."""
     out, left = [], [e]
     while left:
@@ -274,37 +349,39 @@ def plain(e: Element, hidden: set) -> str:
             out.append(c)
         elif c.name == "br":
             out.append("\n")
-        elif c is e or shown(c, hidden):
+        else:
             left += reversed(c.children)
     return "".join(out)
 
 
-def table(e: Element, hidden: set):
-    """Lines of a table: its caption, then rows whose cells start at the same places; a spanning cell takes as many columns."""
+def spans(e: Element, name: str) -> int:
+    given = e.attributes.get(name, "1")
+    return min(1000, max(1, int(given))) if re.fullmatch(r"\d{1,4}", given) else 1
+
+
+def table(e: Element):
+    """Lines of a table: its caption, then rows whose cells start at the same places; a spanning cell takes as many columns or rows."""
     head, grid = [], []
 
     def walk(x: Element):
         for c in x.children:
             if isinstance(c, str):
-                if c.strip():
-                    head.append(SPACE.sub(" ", c).strip())
-            elif not shown(c, hidden):
-                continue
+                if c.strip(ASCII_SPACE):
+                    head.append(SPACE.sub(" ", c).strip(ASCII_SPACE))
             elif c.name == "tr":
                 row = []
                 for d in c.children:
                     if isinstance(d, str):
-                        if d.strip():
-                            row.append(([SPACE.sub(" ", d).strip()], 1))
-                    elif shown(d, hidden):
+                        if d.strip(ASCII_SPACE):
+                            row.append(([SPACE.sub(" ", d).strip(ASCII_SPACE)], 1, 1))
+                    else:
                         inner = Lines()
                         cell = d if d.name in ("td", "th") else Element("", {})
                         if cell is not d:
                             cell.children = [d]
-                        yield lay_out(cell, hidden, inner)
+                        yield lay_out(cell, inner)
                         inner.end()
-                        span = cell.attributes.get("colspan", "1")
-                        row.append((inner.lines or [""], min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1))
+                        row.append((inner.lines or [""], spans(cell, "colspan"), spans(cell, "rowspan")))
                 grid.append(row)
             elif c.name in ("tbody", "thead", "tfoot", "colgroup"):
                 yield walk(c)
@@ -312,26 +389,36 @@ def table(e: Element, hidden: set):
                 inner = Lines()
                 loose = Element("", {})
                 loose.children = [c]
-                yield lay_out(loose, hidden, inner)
+                yield lay_out(loose, inner)
                 inner.end()
                 head.extend(inner.lines)
 
     yield walk(e)
+    placed: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines) of each row's cells
     widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  # column -> further rows in which a cell from above has it
     for row in grid:
-        at = 0
-        for lines, span in row:
-            if span == 1:
+        at, mine, from_above = 0, [], taken
+        taken = {c: n - 1 for c, n in from_above.items() if n > 1}
+        for lines, columns, rows in row:
+            while at in from_above:
+                at += 1
+            mine.append((at, columns, lines))
+            if columns == 1:
                 widths[at] = max(widths.get(at, 0), *map(len, lines))
-            at += span
+            if rows > 1:
+                taken |= dict.fromkeys(range(at, at + columns), rows - 1)
+            at += columns
+        placed.append(mine)
+    starts = np.cumsum([0, *(widths.get(k, 0) + 2 for k in range(max((a + n for mine in placed for a, n, _ in mine), default=0)))]).tolist()
     out = list(head)
-    for row in grid:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = "", 0
-            for lines, span in row:
-                width = sum(widths.get(k, 0) + 2 for k in range(at, at + span))
-                line += (lines[i] if i < len(lines) else "").ljust(width - 2) + "  "
-                at += span
+    for mine in placed:
+        for i in range(max((len(lines) for _, _, lines in mine), default=0)):
+            line = ""
+            for at, _, lines in mine:
+                if line and len(line) > starts[at]:
+                    line += " " * 2  # a spanning cell was wider than its columns
+                line = line.ljust(starts[at]) + (lines[i] if i < len(lines) else "")
             out.append(line.rstrip())
     return [x for x in out if x] if any(out) else []
 
@@ -340,9 +427,10 @@ def extract(html: str | None) -> str:
     """The visible text; empty for a null or empty page."""
     if not html:
         return ""
-    root, hidden = parse(html)
+    root, css = parse(html)
+    only_visible(root, rules_of(css))
     out = Lines()
-    run(lay_out(root, hidden, out))
+    run(lay_out(root, out))
     out.end()
     return "\n".join(line.rstrip() for line in out.lines)
 
@@ -353,7 +441,12 @@ def _batches(batches):
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, text) for every row of pages; null and empty html give an empty text, and null ids and repeated rows are kept."""
+    """(page_id, text) for every row of pages.
+
+    Null and empty html give an empty text; null ids and repeated rows are kept,
+    and other columns are not read. Pages of any length and depth are rendered
+    whole. Of rules that tie the last counts, of repeated attributes the first.
+    """
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_batches, "page_id long, text string")
 
 

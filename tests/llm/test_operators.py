@@ -64,6 +64,37 @@ def test_html_layout():
     assert html_extract.extract("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<style>@media print{.x{display:none}} .y{display:none}</style><p class=x>a<p class=y>b", "a"),
+        ("<style>@media screen and (min-width:1px){.x{display:none}}</style><p class=x>a<p>b", "b"),
+        ("<style media=print>p{display:none}</style><p>a", "a"),
+        ("<style>.x{display:none} .x{display:block}</style><p class=x>a", "a"),
+        ("<style>#i{display:block} p{display:none}</style><p id=i>a<p>b", "a"),
+        ("<style>p{display:none !important} #i{display:block}</style><p id=i>a", ""),
+        ("<style>@keyframes k{from{display:none} to{display:none}} p{color:red}</style><p>a", "a"),
+        ("<style>p{display:none}</style><p style='display:block'>a", "a"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>", "b"),
+        ("<div style='display:none'>a<b style='display:block'>b</b></div>", ""),
+        ("<select><option>a<option selected>b</select>", "b"),
+        ("<select><option>a<option>b</select>", "a"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<svg><title>no</title><text>yes</text></svg><math><mi>x</mi><annotation>no</annotation></math>", "yesx"),
+        ("<input type=submit value=Go><input type=hidden value=no><input type=password value=no>", "Go"),
+        ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>D<td>e</table>", "A  b\n   c\nD  e"),
+        ("<table><tr><td rowspan=3>A<td rowspan=2>b<td>x<tr><td>c<tr><td>e<td>f</table>", "A  b  x\n      c\n   e  f"),
+        ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>", "wide cell  z\na  b  c"),
+        ("<dialog>no</dialog><dialog open>yes</dialog><template>no</template><noscript>no</noscript>", "yes"),
+        ("<style>.x{display:none", ""),
+        ("<style>.x{display:none}</style><i class=x>no</i>", ""),
+    ],
+)
+def test_html_shows_what_is_visible(html, want):
+    assert html_extract.extract(html) == want
+
+
 def test_html_rules_hold_at_every_depth():
     x = html_extract.extract
     for n in (3, 199, 5000, 50_000):
