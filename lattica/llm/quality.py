@@ -2,7 +2,7 @@
 
 A document's histogram of character classes and that of its language's common
 words are compared, by Jensen-Shannon distance, with those of all documents of
-the language. Too short a text is not judged by a histogram. DataFrame
+the language that pass the base rules. Too short a text is not judged by a histogram. DataFrame
 functions only: one pass over the texts makes a narrow table of counts; the
 references (a row for each known language, and one for all others) are sums of
 it and are broadcast.
@@ -90,31 +90,58 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
 def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE) -> DataFrame:
     """Counts, distances and verdict for every row of docs.
 
     base_failed: under 20 words, or over 30 % of them in repeated 8-word windows.
     kept: passes those, and lies within both distances of its language, where the
     text is long enough for the histogram. Null and empty texts fail; a null or
-    unknown language is held against all such documents. Repeated rows are judged
-    alike; null ids are kept.
+    unknown language is held against all such documents. The references are sums
+    over the rows that pass the base rules; a language without any judges nobody by
+    histograms. Repeated rows are judged alike; null ids are kept; texts of any
+    length are counted whole. Other columns are not read.
     """
-    counts = cut(base_counts(docs))
+    counts = cut(base_counts(docs).withColumn("base_failed", base_failed()))
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x)
     n_common = F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x)
     words = F.concat(F.col("common"), F.array(F.greatest(F.col("n_words") - n_common, F.lit(0).cast("long"))))
     rows = counts.withColumn("words", words)
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(n)])
     widest = max(len(SHARED_WORDS), *map(len, COMMON_WORDS.values())) + 1
-    refs = rows.groupBy("lang").agg(sums("chars", 6).alias("ref_chars"), sums("words", widest).alias("ref_words"))
+    refs = rows.filter(~F.col("base_failed")).groupBy("lang").agg(sums("chars", 6).alias("ref_chars"), sums("words", widest).alias("ref_words"))
     refs = refs.withColumn("ref_words", F.filter("ref_words", lambda x: x.isNotNull()))
-    rows = rows.join(F.broadcast(refs), "lang")  # at most a row for each known language and one more
+    rows = rows.join(F.broadcast(refs), "lang", "left")  # at most a row for each known language and one more
     rows = rows.withColumn("char_distance", F.when(n_chars >= LEAST_CHARS_JUDGED, distance(F.col("chars"), F.col("ref_chars"))))
     rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= LEAST_WORDS_JUDGED, distance(F.col("words"), F.col("ref_words"))))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    failed = F.col("base_failed")
     far = (F.coalesce("char_distance", F.lit(0.0)) > most_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > most_word_distance)
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "char_distance", "word_distance")
+    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & ~far).alias("kept"), "char_distance", "word_distance")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("lang", "char_distance", "word_distance")
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The base counts alone, which SQL can express."""
+    counts = base_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"))
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM w),
+counts AS (
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+"""

@@ -18,7 +18,10 @@ QUERIES = {
     "op9_pack": packing.query,
     "op10_lm_score": lm_score.query,
     "pipeline": corpus_pipeline.run,
+    # Those parts of op3 and op4 that SQL can express.
+    "quality_base_counts": quality.base_query,
+    "url_rules": url_filter.rules_query,
 }
-ORACLE_SQL = {}
+ORACLE_SQL = {"quality_base_counts": quality.BASE_SQL, "url_rules": url_filter.RULES_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -62,6 +62,13 @@ def first_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
+def by_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """page_id, url, host, path, and the rule that fits with its verdict, both null where none does."""
+    host, path = host_and_path(F.col("url"))
+    named = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("f", first_rule(F.col("host"), F.col("path"), rules))
+    return named.select("page_id", "url", "host", "path", F.col("f.rule").alias("rule"), F.col("f.verdict").alias("by_rule"))
+
+
 def grams(url: Column) -> Column:
     """The URL's (ORDER + 1)-grams of symbols as texts over ALPHABET, one for each character; null for a null URL."""
     plain = F.translate(url, UPPER + "0123456789", LOWER + "0" * 10)
@@ -114,13 +121,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     score: mean log-likelihood ratio of a URL's characters, 0 for a null or empty
     one. Without rules that allow and block some URL, all others are allowed that
-    score 0 or more. Null ids and repeated rows are judged like any other.
+    score 0 or more. Null ids and repeated rows are judged like any other; URLs of
+    any length are read whole, and other columns are not read. Of rules of the same
+    length the last in order of their text counts.
     """
-    host, path = host_and_path(F.col("url"))
-    named = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    found = first_rule(F.col("host"), F.col("path"), rules)
     fold = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5))
-    rows = named.withColumn("f", found).select("page_id", "url", "host", "path", F.col("f.rule").alias("rule"), F.col("f.verdict").alias("by_rule"), fold.alias("fold"))
+    rows = by_rules(pages, rules).withColumn("fold", fold)
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))  # written, so that a row's number lasts
     kinds = rows.select(F.explode(grams(F.col("url"))).alias("text"), ((F.col("by_rule") == "allow") & (F.col("fold") != 0)).alias("a"), ((F.col("by_rule") == "block") & (F.col("fold") != 0)).alias("r"))
     counts = cut(kinds.groupBy("text").agg(F.count(F.when(F.col("a"), 1)).alias("a"), F.count(F.when(F.col("r"), 1)).alias("r")).withColumn("gram", number(F.col("text"))))
@@ -135,3 +141,23 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def rules_query(spark, sf_dir: str) -> DataFrame:
+    """Hosts, paths and rules alone, which SQL can express."""
+    return by_rules(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
+def _case(column: str) -> str:
+    fits = []
+    for r in sorted(RULES, key=lambda r: (-len(r.rule), r.rule)):
+        h, p = r.parts
+        fits.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{getattr(r, column)}'")
+    return f"CASE {' '.join(fits)} END"
+
+
+RULES_SQL = f"""
+WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+named AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, {_case('rule')} AS rule, {_case('verdict')} AS by_rule FROM named
+"""

@@ -126,6 +126,44 @@ def test_distance_equals_definition(spark):
     assert df.select(quality.distance(F.col("a"), F.col("b")).alias("d")).first()["d"] == pytest.approx(math.sqrt(js))
 
 
+def test_verdicts_equal_brute_force_and_junk_is_no_reference(spark):
+    rows = [doc(i, prose(i, 150 + i)) for i in range(30)] + [doc(100 + i, "ZQ#7 " * 400) for i in range(40)] + [doc(200, " ".join(f"QX{i}#{i * i}$" for i in range(300))), doc(201, None), doc(202, "too short")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(got[i]["kept"] for i in range(30)) and not any(got[i]["kept"] for i in got if i >= 100) and not got[200]["base_failed"]
+    counts = {r["doc_id"]: r for r in quality.base_counts(spark.createDataFrame(rows, DOC)).collect()}
+    good = [i for i in got if not got[i]["base_failed"]]
+
+    def js(a, b):
+        p, q = (np.array(x, float) / sum(x) for x in (a, b))
+        kl = lambda x, m: sum(u * math.log2(u / v) for u, v in zip(x, m, strict=True) if u)
+        return math.sqrt(max(0, (kl(p, (p + q) / 2) + kl(q, (p + q) / 2)) / 2))
+
+    chars = {i: counts[i]["chars"] for i in counts}
+    words = {i: [*counts[i]["common"], max(0, counts[i]["n_words"] - sum(counts[i]["common"]))] for i in counts}
+    for i in got:
+        for name, h, enough in (("char_distance", chars, sum(chars[i]) >= quality.LEAST_CHARS_JUDGED), ("word_distance", words, counts[i]["n_words"] >= quality.LEAST_WORDS_JUDGED)):
+            want = js(h[i], np.sum([h[k] for k in good], 0)) if enough else None
+            assert got[i][name] == (None if want is None else pytest.approx(want, abs=1e-6))
+        far = (got[i]["char_distance"] or 0) > quality.MOST_CHAR_DISTANCE or (got[i]["word_distance"] or 0) > quality.MOST_WORD_DISTANCE
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not far)
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    import duckdb
+
+    from lattica.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        want = con.execute(sql).fetch_arrow_table()
+        got = queries.QUERIES[name](spark, d)
+        key = lambda r: tuple(map(str, r))
+        assert sorted((tuple(r) for r in got.select(*want.column_names).collect()), key=key) == sorted((tuple(r.values()) for r in want.to_pylist()), key=key)
+
+
 def test_urls(spark):
     cases = {"https://a.EXAMPLE.org/es/1": ("a.example.org", "/es/1", "example.org/es/", "block"), "http://example.org?x": ("example.org", "", None, None), "http://x.org/en/1": ("x.org", "/en/1", "org/", "allow"), "http://example.org/en/12#f": ("example.org", "/en/12", "example.org/en/1", "block"), "nothing": ("", "", None, None), "http://notorg/": ("notorg", "/", None, None), "http://b.com/de/?q": ("b.com", "/de/", "com/de/", "block")}
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")).collect()}
