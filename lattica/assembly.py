@@ -32,6 +32,7 @@ class Assembly:
 
     def divide(self, depth: int | None = None) -> Assembly:
         """Cells to a fixed depth, or without one adaptively, while they meet eight particles or more."""
+        self.levels = depth or 0
         self.leaves, self.bag = octree.refine(self.particles, self.root, octree.DEEPEST if depth is None else depth, 8 if depth is None else 1)
         return self
 
@@ -53,6 +54,11 @@ class Assembly:
     def write_mask(self, dims, path: str) -> None:
         files.write_dat(self.mask(dims), dims, path)
 
+    def divide_once(self) -> Assembly:
+        """One level deeper than the last division by depth."""
+        self.levels = getattr(self, "levels", 0) + 1
+        return self.divide(self.levels)
+
     def write_mesh(self, path: str) -> None:
         files.write_lines(files.mesh_lines(*self.mesh()), path)
 

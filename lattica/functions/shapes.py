@@ -111,6 +111,40 @@ def support(d: V) -> V:
     return to_global(tuple(out))
 
 
+def closest_point(p: V) -> V:
+    """The particle's point furthest towards a global point p (not the centre)."""
+    return support(tuple(a - b for a, b in zip(p, _c("x", "y", "z"), strict=True)))
+
+
+def moved(particles: DataFrame, dx, dy, dz) -> DataFrame:
+    """particles with their centres shifted (by numbers or columns)."""
+    return particles.withColumns({c: F.col(c) + d for c, d in zip("xyz", (dx, dy, dz), strict=True)})
+
+
+def turned(particles: DataFrame, q: tuple) -> DataFrame:
+    """particles turned round their centres by a unit quaternion (numbers or columns), from local into global axes."""
+    a, b, c, d = (F.col(f"q{i}") for i in range(4))
+    w, x, y, z = (F.lit(q[0]), *(-F.lit(v) for v in q[1:]))  # ours turn global into local axes: the inverse turn comes first, on the right
+    out = (a * w - b * x - c * y - d * z, a * x + b * w + c * z - d * y, a * y - b * z + c * w + d * x, a * z + b * y - c * x + d * w)
+    return particles.drop(*ROTATION).withColumns({f"q{i}": v for i, v in enumerate(out)})
+
+
+def resized(particles: DataFrame, factor) -> DataFrame:
+    """particles with radii times a factor (a number or column)."""
+    return particles.withColumns({c: F.col(c) * factor for c in ("rx", "ry", "rz")})
+
+
+def obb_bounds() -> Box:
+    """Axis-aligned bounds of the oriented bounding box's corners."""
+    r, out = rotation(), [[], []]
+    radii = [F.when(F.col("kind") == "sphere", F.col("rx")).otherwise(F.col(c)) for c in ("rx", "ry", "rz")]
+    for j, c in enumerate(_c("x", "y", "z")):
+        h = sum((F.abs(r[i][j]) * radii[i] for i in (1, 2)), F.abs(r[0][j]) * radii[0])
+        out[0].append(c - h)
+        out[1].append(c + h)
+    return Box(tuple(out[0]), tuple(out[1]))
+
+
 def aabb() -> Box:
     """Tight bounding box: the reach along each axis."""
     r = rotation()

@@ -18,11 +18,16 @@ def dot(a: DataFrame, b: DataFrame) -> float:
     return both.agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("s")).first()["s"]
 
 
+def norm2(a: DataFrame) -> float:
+    """The dot product of a field with itself, which needs no join."""
+    return a.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("s")).first()["s"]
+
+
 def conjugate_gradient(apply: Callable[[DataFrame], DataFrame], b: DataFrame, steps: int = 10, x: DataFrame | None = None, small: float = 1e-16) -> DataFrame:
     """x with apply(x) near b, for a symmetric definite operator; ends at a squared residual under ``small``."""
     r = settle(b if x is None else stencil.combine((b, 1.0), (apply(x), -1.0)))
     x = b.select(*PLACE, F.lit(0.0).alias("v")) if x is None else x
-    p, rr = r, dot(r, r)
+    p, rr = r, norm2(r)
     for _ in range(steps):
         if abs(rr) < small:
             break
@@ -33,7 +38,7 @@ def conjugate_gradient(apply: Callable[[DataFrame], DataFrame], b: DataFrame, st
         alpha = rr / curve
         x = settle(stencil.combine((x, 1.0), (p, alpha)))
         r = settle(stencil.combine((r, 1.0), (ap, -alpha)))
-        rr, before = dot(r, r), rr
+        rr, before = norm2(r), rr
         p = settle(stencil.combine((r, 1.0), (p, rr / before)))
     return x
 
@@ -56,11 +61,18 @@ def distributive_relaxation(fields: dict[str, DataFrame], rhs: dict[str, DataFra
     return out
 
 
+#: A sweep's rows follow each other, so the matrix is held in one task: a dense one of so many rows takes 32 MB.
+MOST_ROWS = 2048
+
+
 def gauss_seidel(a: DataFrame, b: DataFrame, sweeps: int = 50) -> DataFrame:
-    """x (i, v) with A x near b, for a matrix (i, j, v) small enough for one task: its sweeps go row by row."""
+    """x (i, v) with A x near b, for a matrix (i, j, v) of at most MOST_ROWS rows: sweeps go row by row, in one task. Larger ones are refused; see conjugate_gradient."""
     import numpy as np
     import pandas as pd
 
+    most = a.agg(F.greatest(F.max("i"), F.max("j")).alias("n")).first()["n"]
+    if most is not None and most >= MOST_ROWS:
+        raise ValueError(f"a matrix of over {MOST_ROWS} rows isn't solved in one task")
     rows = a.select("i", "j", "v").unionByName(b.select("i", F.lit(-1).alias("j"), "v"))
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:

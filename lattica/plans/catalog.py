@@ -364,6 +364,35 @@ def _(spark, d):
     return v.select("particle_id", "n", *[rnd(c).alias(a) for a, c in zip("xyz", shapes.obb_corner(F.col("n")), strict=True)])
 
 
+TOWARDS = (0.3, -0.2, 0.5)
+LOCAL = [f"(m{i}0*{TOWARDS[0]}+m{i}1*({TOWARDS[1]})+m{i}2*{TOWARDS[2]})" for i in range(3)]
+
+
+@query("particle_closest_point", f"WITH {MIXED} SELECT particle_id, {r(reach_sql(*LOCAL))} AS along, {r('1.0')} AS level FROM prt")
+def _(spark, d):
+    """How far the point closest to one beyond the particle lies in that direction, and that it is on the surface."""
+    far = shapes.closest_point(tuple(F.col(c) + t for c, t in zip("xyz", TOWARDS, strict=True)))
+    got = particles(spark, d).withColumns({f"c{c}": v for c, v in zip("xyz", far, strict=True)})
+    along = sum((F.col(f"c{c}") - F.col(c)) * t for c, t in zip("xyz", TOWARDS, strict=True))
+    return got.select("particle_id", rnd(along).alias("along"), rnd(shapes.level(tuple(F.col(f"c{c}") for c in "xyz"))).alias("level"))
+
+
+@query("particle_edits", f"WITH {MIXED} SELECT particle_id, {', '.join(f'{r(f'm{i}0*({TOWARDS[1]})+m{i}1*{TOWARDS[2]}+m{i}2*{TOWARDS[0]}')} AS u{i}' for i in range(3))}, {r('1.5*rx')} AS rx, {r('x+0.1')} AS x FROM prt")
+def _(spark, d):
+    """Shifted, turned by a third round the diagonal (x to y to z to x) and scaled: a point's local coordinates, a radius and the centre."""
+    rows = shapes.prepared(shapes.resized(shapes.turned(shapes.moved(particles(spark, d), 0.1, 0.2, 0.3), (0.5, 0.5, 0.5, 0.5)), 1.5))
+    local = shapes.to_local(tuple(F.col(c) + t for c, t in zip("xyz", TOWARDS, strict=True)))
+    return rows.select("particle_id", *four("u", local), rnd(F.col("rx")).alias("rx"), rnd(F.col("x")).alias("x"))
+
+
+HALVES = {a: " + ".join(f"abs(m{i}{j}) * {q if i == 0 else f'CASE kind WHEN $$sphere$$ THEN rx ELSE {q} END'}" for i, q in enumerate(("rx", "ry", "rz"))) for j, a in enumerate("xyz")}
+
+
+@query("particle_obb_bounds", f"WITH {MIXED} SELECT particle_id, {', '.join(f'{r(f'{a} {s} ({HALVES[a]})')} AS {e}{a}' for e, s in (('l', '-'), ('h', '+')) for a in 'xyz')} FROM prt")
+def _(spark, d):
+    return particles(spark, d).select("particle_id", *[rnd(c).alias(c0) for c, c0 in zip([*shapes.obb_bounds().low, *shapes.obb_bounds().high], [f"{e}{a}" for e in "lh" for a in "xyz"], strict=True)])
+
+
 SG = "(CASE WHEN {x} < 0 THEN -1 ELSE 1 END)*pow(abs({x}), {e})"
 CE, SE, CO, SO = "cos(x)", "sin(x)", "cos(6*y)", "sin(6*y)"
 
@@ -518,6 +547,30 @@ def _(spark, d):
     return mesh.faces(_mesh(spark, d)[1])
 
 
+HEX = "hx AS (SELECT elem_id, [nodes[1],nodes[2],nodes[4],nodes[3],nodes[5],nodes[6],nodes[8],nodes[7]] AS nodes FROM ms)"
+
+
+def _faces_sql(source: str, table: tuple) -> str:
+    return " UNION ALL ".join(f"SELECT elem_id, {n} AS face, [{', '.join(f'nodes[{c + 1}]' for c in f)}] AS nodes FROM {source}" for n, f in enumerate(table))
+
+
+@query("mesh_hex_faces", f"{MESH}, {HEX} {_faces_sql('hx', mesh.FACES[mesh.HEXAHEDRON])}")
+def _(spark, d):
+    return mesh.faces(mesh.to_hexahedra(_mesh(spark, d)[1]), mesh.HEXAHEDRON)
+
+
+@query("mesh_pixel_edges", f"{MESH}, px AS (SELECT elem_id, nodes[1:4] AS nodes FROM ms) {_faces_sql('px', mesh.FACES[mesh.PIXEL])}")
+def _(spark, d):
+    """Edges of the lower faces of all voxels, as pixels."""
+    return mesh.faces(_mesh(spark, d)[1].withColumns({"nodes": F.slice("nodes", 1, 4), "vtk_type": F.lit(mesh.PIXEL)}), mesh.PIXEL)
+
+
+@query("mesh_quad_edges", f"{MESH}, qd AS (SELECT elem_id, [nodes[1],nodes[2],nodes[4],nodes[3]] AS nodes FROM ms) {_faces_sql('qd', mesh.FACES[mesh.QUAD])}")
+def _(spark, d):
+    """The same as quads, whose corners go round."""
+    return mesh.faces(mesh.to_quads(_mesh(spark, d)[1].withColumn("nodes", F.slice("nodes", 1, 4))), mesh.QUAD)
+
+
 @query("mesh_boundary", f"{MESH}, {FACES_SQL} SELECT elem_id, face, nodes FROM fc QUALIFY count(*) OVER (PARTITION BY list_sort(nodes)) = 1")
 def _(spark, d):
     return mesh.boundary(_mesh(spark, d)[1])
@@ -561,6 +614,18 @@ def _(spark, d):
     return got.filter("marker = 1").select(F.col("idx").cast("int").alias("idx"), "i", "j", "k")
 
 
+@query("dat_many_files", ORACLE_SQL["mask_grid"])
+def _(spark, d):
+    """The same, with the mask in many part files, as a large one would be."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return QUERIES["dat_roundtrip"](spark, d)
+    finally:
+        spark.conf.set(name, before)
+
+
 # ---- stencils and solvers ------------------------------------------------------------------------------------
 
 N = 12
@@ -607,7 +672,7 @@ def _(spark, d):
 @query("field_dot", f"WITH {GRID} SELECT {r('sum(v*v)')} AS dot, {r('sum(v)')} AS total FROM f")
 def _(spark, d):
     f = field(spark)
-    return f.agg(rnd(F.lit(solvers.dot(f, f))).alias("dot"), rnd(F.sum("v")).alias("total"))
+    return f.agg(rnd(F.lit(solvers.norm2(f))).alias("dot"), rnd(F.sum("v")).alias("total"))
 
 
 @query("conjugate_gradient", f"WITH {GRID} SELECT i, j, k, round(v, 4) + 0.0 AS v FROM f")

@@ -8,7 +8,7 @@ D = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["vec_dot", "quat_mul", "box_intersects", "particle_aabb", "mask_semi_join", "mask_grid", "octree_leaf_stats", "mesh_elements", "laplacian"])
+@pytest.mark.parametrize("name", ["vec_dot", "quat_mul", "box_intersects", "particle_aabb", "mask_semi_join", "mask_grid", "octree_leaf_stats", "mesh_elements", "laplacian", "dat_many_files", "particle_closest_point", "particle_edits", "particle_obb_bounds", "mesh_hex_faces", "mesh_pixel_edges", "mesh_quad_edges", "field_dot", "gauss_seidel"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
