@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lattica.functions import shapes
 from lattica.functions.box import Box
 
-MOST_STEPS = 64
+#: Gaps under about a thousandth of the particle may need more steps to be proved, and count as touching.
+MOST_STEPS = 256
 
 
 def may_meet(cell: Box) -> Column:

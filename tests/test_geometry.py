@@ -153,3 +153,155 @@ def test_stream_of_points(spark, tmp_path):
     q = inside_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), p).writeStream.format("memory").queryName("hits").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("hits").count() == spatial.pairs_inside(df, p).count()
+
+
+def least_level(low, high, f):
+    """The least of the level's norm over each box, found on ever finer grids around the least so far; it has one valley."""
+    q = f[["q0", "q1", "q2", "q3"]].to_numpy(float)
+    w, x, y, z = q.T
+    m = np.array([[w * w + x * x - y * y - z * z, 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z]]).transpose(2, 0, 1)
+    e1, e2 = (np.where(f["kind"] == "ellipsoid", 1.0, f[c])[:, None] for c in ("eps1", "eps2"))
+    r, center = f[["rx", "ry", "rz"]].to_numpy(float)[:, None], f[["x", "y", "z"]].to_numpy(float)[:, None]
+    grid = np.stack(np.meshgrid(*[np.linspace(-1, 1, 7)] * 3, indexing="ij"), -1).reshape(1, -1, 3)
+    mid, half, rows, least = (low + high) / 2, (high - low) / 2, np.arange(len(f)), None
+    for _ in range(28):
+        p = np.clip(mid[:, None] + half[:, None] * grid, low[:, None], high[:, None])
+        t = np.abs(np.einsum("nij,nkj->nki", m, p - center) / r)
+        level = ((t[..., 0] ** (2 / e2) + t[..., 1] ** (2 / e2)) ** (e2 / e1) + t[..., 2] ** (2 / e1)) ** (e1 / 2)
+        at = level.argmin(1)
+        least, mid, half = level[rows, at], p[rows, at], half * 0.7
+    return least
+
+
+def test_cells_and_particles_meet_as_minimisation_says():
+    """The least level over a box, found on ever finer grids (the level has one valley), against the search for a separating direction."""
+    import pandas as pd
+
+    from lattica.operators import collide
+
+    rng = np.random.default_rng(8)
+    n = 300
+    q = rng.normal(size=(n, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    f = pd.DataFrame({"kind": np.where(np.arange(n) % 5, "superellipsoid", "ellipsoid")})
+    f[["rx", "ry", "rz"]] = rng.uniform(0.3, 1.2, (n, 3))
+    f[["eps1", "eps2"]] = rng.uniform(0.6, 1.7, (n, 2))
+    f[["x", "y", "z"]] = rng.uniform(-1, 1, (n, 3))
+    f[["q0", "q1", "q2", "q3"]] = q
+    low = rng.uniform(-1.5, 1, (n, 3))
+    high = low + rng.uniform(0.2, 0.8, (n, 3))
+    got = collide.meet(low, high, f)
+    least = least_level(low, high, f)
+    clear = np.abs(least - 1) > 2e-3
+    assert clear.sum() > 250 and 30 < got.sum() < n - 30
+    assert (got == (least <= 1))[clear].all()
+
+
+def test_superellipsoid_tree_holds_what_touches_and_nothing_else(spark):
+    """Each leaf's count and corners against a test of every particle with every leaf."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    rows = [(i, "superellipsoid", *rng.uniform(0.05, 0.15, 3).tolist(), *rng.uniform(0.7, 1.6, 2).tolist(), *rng.uniform(0.2, 0.8, 3).tolist(), 1.0, 0.0, 0.0, 0.0) for i in range(12)]
+    p = spark.createDataFrame(rows, ["particle_id", "kind", *shapes.COLUMNS])
+    leaves = octree.refine(p, ROOT, 3)[0].toPandas()
+    every = pd.DataFrame(rows, columns=["particle_id", "kind", *shapes.COLUMNS])
+    side = 0.5 ** leaves["depth"].to_numpy()[:, None]
+    low = leaves[["i", "j", "k"]].to_numpy() * side
+    n = len(leaves)
+    pairs = pd.concat([every] * n, ignore_index=True)
+    least = least_level(np.repeat(low, 12, 0), np.repeat(low + side, 12, 0), pairs).reshape(n, 12)
+    surely, perhaps = (least < 1 - 2e-3).sum(1), (least < 1 + 2e-3).sum(1)
+    got = leaves["n"].to_numpy()
+    assert ((surely <= got) & (got <= perhaps)).all() and (surely == perhaps).mean() > 0.9 and surely.max() > 1
+    corners = low[:, None] + side[:, None] * np.array([[v & 1, v >> 1 & 1, v >> 2 & 1] for v in range(8)])
+    inside = levels(every, corners.reshape(-1, 3)).reshape(n, 8, 12) <= 1
+    assert (leaves["nvert"].to_numpy() == inside.sum(1).max(1)).all()
+    assert (side.ravel() ** 3).sum() == pytest.approx(1)
+
+
+def test_relaxation_step_equals_arrays(spark):
+    from lattica.operators import solvers
+
+    dims, h, steps = (4, 3, 5), (0.5, 0.25, 0.2), 3
+    rng = np.random.default_rng(1)
+    solid = {n: rng.random(dims) < 0.15 for n in "uvwp"}
+    start, rhs = ({n: rng.normal(size=dims) * ~solid[n] for n in "uvwp"} for _ in range(2))
+    frame = lambda a, keep=None: spark.createDataFrame([(*map(int, p), float(a[p])) for p in np.ndindex(*dims) if keep is None or keep[p]], "i int, j int, k int, v double")
+
+    def lap(name):
+        return lambda f: sum((np.roll(f, 1, a) + np.roll(f, -1, a) - 2 * f) / h[a] ** 2 for a in range(3)) * ~solid[name]
+
+    def forward(f, a, mask):
+        return (f - np.roll(f, -1, a)) / h[a] * ~mask
+
+    def mass(f):
+        return sum(forward(forward(f, a, solid["uvw"[a]]), a, solid["p"]) for a in range(3))
+
+    def cg(apply, b):
+        x, r = np.zeros(dims), b.copy()
+        p, rr = r, (r * r).sum()
+        for _ in range(steps):
+            if abs(rr) < 1e-16:
+                break
+            ap = apply(p)
+            if (curve := (p * ap).sum()) == 0:
+                break
+            x, r = x + rr / curve * p, r - rr / curve * ap
+            rr, before = (r * r).sum(), rr
+            p = r + rr / before * p
+        return x
+
+    want = {n: a.copy() for n, a in start.items()}
+    for a, n in enumerate("uvw"):
+        want[n] += cg(lap(n), rhs[n] - forward(want["p"], a, solid[n]) - lap(n)(want[n]))
+    e = cg(mass, rhs["p"] - sum(forward(want[n], a, solid["p"]) for a, n in enumerate("uvw")))
+    for a, n in enumerate("uvw"):
+        want[n] += forward(e, a, solid[n])
+    want["p"] -= mass(e)
+    masks = {n: frame(solid[n], solid[n]).drop("v") for n in "uvwp"}
+    got = solvers.distributive_relaxation({n: frame(a) for n, a in start.items()}, {n: frame(a) for n, a in rhs.items()}, dims, h, masks, steps)
+    for n, f in got.items():
+        out = np.zeros(dims)
+        for r in f.collect():
+            out[r["i"], r["j"], r["k"]] = r["v"]
+        assert np.allclose(out, want[n], rtol=1e-6, atol=1e-8), n
+
+
+def test_writers_of_masks_and_staggered_grids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lattica.operators import mesh, solvers
+    from lattica.sources import files
+    from lattica.sources.grids import Lattice
+
+    dims = (3, 2, 4)
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, dims)
+    mask = spark.createDataFrame([(*map(int, p), int(bits[p])) for p in np.ndindex(*dims)], "i int, j int, k int, marker int")
+    for first in (False, True):
+        files.write_dat(mask.repartition(5), dims, str(tmp_path / f"m{first}"), blank_first=first)
+        got, size = files.read_dat(spark, str(tmp_path / f"m{first}"))
+        assert size == dims and all(bits[r["i"], r["j"], r["k"]] == r["marker"] for r in got.collect()) and got.count() == 24
+    files.dat_to_vtk(spark, str(tmp_path / "mTrue"), (0.0,) * 3, (1.0,) * 3, str(tmp_path / "vtk"))
+    text = "\n".join(r["value"] for r in files.lines_of(spark, str(tmp_path / "vtk")).orderBy(*files.LINE).collect())
+    assert "POINTS 60 double" in text and "CELLS 24 216" in text and "SCALARS centroid int" in text
+    assert text.split("LOOKUP_TABLE default\n")[1].split() == [str(b) for b in bits.transpose(2, 1, 0).ravel()]
+    nodes, elements = mesh.from_mask(spark.createDataFrame([(0, 0, 0, 0, 1)], "i int, j int, k int, idx long, marker int"), (0.0,) * 3, (1.0,) * 3, (1, 1, 1))
+    lines = [r["value"] for r in files.mesh_lines(nodes.withColumn("m", F.col("node_id") % 2), elements, node_marker="m").orderBy("section", "seq").collect()]
+    at = lines.index("POINT_DATA 8")
+    assert lines[at + 1 : at + 3] == ["SCALARS nodeMarkers int", "LOOKUP_TABLE default"] and lines[at + 3 :] == [str(i % 2) for i in range(8)]
+    edges = mesh.faces(mesh.to_quads(spark.createDataFrame([(7, 8, [1, 2, 3, 4], 0)], "elem_id long, vtk_type int, nodes array<long>, marker int")), mesh.QUAD).orderBy("face").collect()
+    assert [r["nodes"] for r in edges] == [[1, 2], [2, 4], [4, 3], [3, 1]]
+
+    def field(shape, f):
+        return spark.createDataFrame([(*map(int, p), float(f(*p))) for p in np.ndindex(*shape)], "i int, j int, k int, v double")
+
+    fields = {"u": field((3, 2, 2), lambda i, j, k: i), "v": field((2, 3, 2), lambda i, j, k: 10 * j), "w": field((2, 2, 3), lambda i, j, k: 100 * k), "p": field((2, 2, 2), lambda i, j, k: i + 2 * j + 4 * k)}
+    solid = spark.createDataFrame([(1, 1, 1)], "i int, j int, k int")
+    lines = [r["value"] for r in files.staggered_lines(fields, Lattice.over((0.0,) * 3, (1.0,) * 3, (2, 2, 2)), solid).orderBy("section", "seq").collect()]
+    at = lines.index("SCALARS pressure double")
+    assert [float(x) for x in lines[at + 2 : at + 10]] == [0, 1, 2, 3, 4, 5, 6, 0]
+    assert [tuple(map(float, x.split())) for x in lines[-8:]] == [(i + 0.5, 10 * (j + 0.5), 100 * (k + 0.5)) for k in range(2) for j in range(2) for i in range(2)]
+    with pytest.raises(ValueError):
+        solvers.gauss_seidel(spark.createDataFrame([(5000, 0, 1.0)], "i int, j int, v double"), spark.createDataFrame([(0, 1.0)], "i int, v double"))
