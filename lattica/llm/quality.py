@@ -42,7 +42,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     a = a.withColumn("t4", strip(F.col("t3"), "[0-9]+")).withColumn("t5", strip(F.col("t4"), r"[\x00-\x7F]+"))
     n = lambda c: F.length(c).cast("long")
     classes = [n("text") - n("t1"), n("t1") - n("t2"), n("t2") - n("t3"), n("t3") - n("t4"), n("t4") - n("t5"), n("t5")]
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM text)")
+    trimmed = F.trim(F.col("text"), F.lit(" \t\n\x0b\f\r"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = a.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))).withColumn("lines", lines)
     a = a.select(

@@ -116,6 +116,14 @@ def test_quality_counts_equal_brute_force(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
 
 
+def test_base_counts_keep_letters_at_the_ends(spark):
+    """A form feed is white space, the letter f is not."""
+    ends = "f if of cliff fast full elf fluff"
+    texts = [" ".join([ends] * 2), "f", "f f f", "\f\x0bf x f\f"]
+    got = {r["doc_id"]: r for r in quality.base_counts(spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC)).collect()}
+    assert [(got[i]["n_words"], got[i]["n_repeat_words"]) for i in range(len(texts))] == [(16, 16), (1, 0), (3, 0), (3, 0)]
+
+
 def test_distance_equals_definition(spark):
     from pyspark.sql import functions as F
 
