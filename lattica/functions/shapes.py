@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lattica.functions import quat
 from lattica.functions.box import Box
@@ -156,6 +158,45 @@ def aabb() -> Box:
     return Box(tuple(out[0]), tuple(out[1]))
 
 
+def _pow(x: float, y: float) -> float:
+    try:
+        return math.pow(x, y)
+    except OverflowError:
+        return math.inf
+    except ValueError:
+        return math.inf if x == 0 else math.nan
+
+
+def _reach(u: float, v: float, w: float, e1: float, e2: float) -> float:
+    if e1 == 2 or e2 == 2:
+        return math.nan
+    p, q = 2 / (2 - e2), 2 / (2 - e1)
+    return _pow(_pow(_pow(_pow(u, p) + _pow(v, p), 1 / p), q) + _pow(w, q), 1 / q)
+
+
+def _library_reaches(kind: pd.Series, *c: pd.Series) -> pd.Series:
+    out = [None] * len(kind)
+    at = (~kind.isin(("sphere", "prism", "ellipsoid"))).to_numpy().nonzero()[0]
+    for n, a, b, d, e1, e2, *m in zip(at.tolist(), *(x.to_numpy(float)[at].tolist() for x in c), strict=True):
+        out[n] = [None if math.isnan(h := _reach(abs(m[j] * a), abs(m[3 + j] * b), abs(m[6 + j] * d), e1, e2)) else h for j in range(3)]
+    return pd.Series(out, dtype=object)
+
+
+_library_reaches.__annotations__ = {"kind": pd.Series, "c": pd.Series, "return": pd.Series}
+
+
+def library_aabb() -> Box:
+    """aabb with powers of the C library, as SQL engines take them: the JVM's differ in the last bit, and boxes that touch tell it."""
+    r, kind = rotation(), F.col("kind")
+    far = F.pandas_udf(_library_reaches, ArrayType(DoubleType()))(kind, *_c("rx", "ry", "rz", "eps1", "eps2", *ROTATION))
+    low, high = [], []
+    for j, c in enumerate(_c("x", "y", "z")):
+        h = F.when(kind.isin("sphere", "prism", "ellipsoid"), reach(tuple(row[j] for row in r))).otherwise(F.get(far, F.lit(j)))
+        low.append(c - h)
+        high.append(c + h)
+    return Box(tuple(low), tuple(high))
+
+
 def obb_corner(n: Column) -> V:
     """Corner n (voxel order) of the oriented bounding box."""
     bit = lambda i: F.when(F.shiftright(n, i).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)

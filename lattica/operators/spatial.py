@@ -13,7 +13,7 @@ from lattica.sources.grids import Lattice
 
 def bounded(particles: DataFrame) -> DataFrame:
     """particles with their tight bounding boxes (lx..hz), worked out once a particle and written: expressions that long would else be repeated wherever a bound is used."""
-    return settle(shapes.prepared(particles).select("*", *shapes.aabb().columns()))
+    return settle(shapes.prepared(particles).select("*", *shapes.library_aabb().columns()))
 
 
 def bounding_box(particles: DataFrame, empty: tuple[float, float] = (0.0, 1.0)) -> DataFrame:

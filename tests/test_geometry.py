@@ -305,3 +305,17 @@ def test_writers_of_masks_and_staggered_grids(spark, tmp_path):
     assert [tuple(map(float, x.split())) for x in lines[-8:]] == [(i + 0.5, 10 * (j + 0.5), 100 * (k + 0.5)) for k in range(2) for j in range(2) for i in range(2)]
     with pytest.raises(ValueError):
         solvers.gauss_seidel(spark.createDataFrame([(5000, 0, 1.0)], "i int, j int, v double"), spark.createDataFrame([(0, 1.0)], "i int, v double"))
+
+
+def test_boxes_that_touch_overlap(spark):
+    """A superellipsoid whose bound is exactly 0.116, by the C library's powers, beside a sphere that ends there."""
+    rows = [
+        (3380, "sphere", 0.036, 0.04, 0.052000000000000005, 1.4, 1.2, 0.08, 0.38, 0.21782178217821782, 0.408248290463863, 0.0, 0.816496580927726, 0.408248290463863),
+        (5359, "superellipsoid", 0.034, 0.044, 0.051000000000000004, 1.19, 0.73, 0.16, 0.35899999999999976, 0.19801980198019803, 0.31622776601683794, 0.6324555320336759, 0.6324555320336759, 0.31622776601683794),
+        (1, None, 0.034, 0.044, 0.05, 1.19, 0.73, 5.0, 5.0, None, 1.0, 0.0, 0.0, 0.0),
+    ]
+    schema = "particle_id long, kind string, " + ", ".join(f"{c} double" for c in shapes.COLUMNS)
+    b = spatial.bounded(spark.createDataFrame(rows, schema))
+    assert {r["particle_id"]: (r["lx"], r["hx"]) for r in b.collect() if r["kind"]} == {3380: (0.044000000000000004, 0.11599999999999999), 5359: (0.11599999999999999, 0.20400000000000001)}
+    got = spatial.boxes_overlap(b, b.withColumnRenamed("particle_id", "other"), "particle_id", "other").collect()
+    assert sorted(tuple(r) for r in got) == [(3380, 3380), (3380, 5359), (5359, 3380), (5359, 5359)]
