@@ -88,10 +88,12 @@ class Box:
 
     def intersects_by_vertex(self, other: Box) -> Column:
         """Whether either holds a corner of the other: misses boxes that cross without."""
-        out = F.lit(False)
-        for n in range(8):
-            out = out | self.contains(other.vertex(n)) | other.contains(self.vertex(n))
-        return out
+        # Corners take each axis' bound apart, so the axes can be looked at one by one.
+        holds = held = F.lit(True)
+        for a, b, c, d in zip(self.low, self.high, other.low, other.high, strict=True):
+            holds = holds & (c.between(a, b) | d.between(a, b))
+            held = held & (a.between(c, d) | b.between(c, d))
+        return holds | held
 
     def support(self, d: V) -> V:
         """The corner furthest along d; the low side where d is 0."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import linear, quat, shapes, vec
 from lattica.functions.box import Box
-from lattica.operators import mesh, octree, solvers, spatial, stencil
+from lattica.operators import mesh, octree, overlap, solvers, spatial, stencil
 from lattica.sources import files
 from lattica.sources.grids import Lattice
 
@@ -276,7 +276,7 @@ def _(spark, d):
 @query("box_intersects_vertex", f"{PAIRS} AND ({CORNER}) GROUP BY 1")
 def _(spark, d):
     b = boxes(spark, d)
-    return spatial.boxes_overlap(b, b.withColumnRenamed("particle_id", "other"), "particle_id", "other", by_vertex=True).groupBy("particle_id").agg(F.count(F.lit(1)).alias("n"))
+    return overlap.overlap_counts(b, b, "particle_id", by_vertex=True)
 
 
 # ---- planes and matrices ---------------------------------------------------------------------

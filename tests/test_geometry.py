@@ -319,3 +319,30 @@ def test_boxes_that_touch_overlap(spark):
     assert {r["particle_id"]: (r["lx"], r["hx"]) for r in b.collect() if r["kind"]} == {3380: (0.044000000000000004, 0.11599999999999999), 5359: (0.11599999999999999, 0.20400000000000001)}
     got = spatial.boxes_overlap(b, b.withColumnRenamed("particle_id", "other"), "particle_id", "other").collect()
     assert sorted(tuple(r) for r in got) == [(3380, 3380), (3380, 5359), (5359, 3380), (5359, 5359)]
+
+
+@pytest.mark.parametrize("by_vertex", [False, True])
+def test_overlaps_are_counted_as_pairs_are(spark, monkeypatch, by_vertex):
+    """Boxes of very different sizes, many that touch, copies, flat ones, and cells dealt to several tasks, with no join of pairs."""
+    from lattica.operators import overlap
+
+    rng = np.random.default_rng(3)
+    low = np.round(rng.uniform(-1, 1, (400, 3)), 1)
+    side = np.round(rng.choice([0.0, 0.1, 0.3, 1.5], (400, 3)), 1)
+    low[300:340], side[300:340] = low[0], side[0]
+    high = low + side
+    rows = [(i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(low, high, strict=True))]
+    b = spark.createDataFrame([*rows, (400, None, 0.0, 0.0, 1.0, 1.0, 1.0)], "id long, lx double, ly double, lz double, hx double, hy double, hz double")
+    monkeypatch.setattr(overlap, "MOST_COUNTED", 50)
+    monkeypatch.setattr(overlap, "MOST_ASKING", 60)
+    one = lambda x: x[:, None, :]
+    hit = ((one(low) <= high) & (low <= one(high))).all(2)
+    if by_vertex:
+        corners = [(np.where([n >> a & 1 for a in range(3)], high, low)) for n in range(8)]
+        inside = lambda c: ((one(low) <= c) & (c <= one(high))).all(2)
+        hit &= np.any([m for c in corners for m in (inside(c), inside(c).T)], axis=0)
+    plan = overlap.overlap_counts(b, b, "id", by_vertex)
+    assert {r["id"]: r["n"] for r in plan.collect()} == dict(enumerate(hit.sum(1).tolist()))
+    assert overlap.count_overlaps(np.repeat(low, 3, 0), np.repeat(high, 3, 0), np.repeat(low, 20, 0), np.repeat(high, 20, 0), by_vertex).tolist() == np.repeat(20 * hit.sum(1), 3).tolist()
+    none = b.limit(0)
+    assert overlap.overlap_counts(none, b, "id", by_vertex).count() == overlap.overlap_counts(b, none, "id", by_vertex).count() == 0
