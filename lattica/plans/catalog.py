@@ -270,7 +270,7 @@ PAIRS = f"WITH {MIXED}, {AABB} SELECT a.particle_id, count(*) AS n FROM box a, b
 @query("box_intersects", f"{PAIRS} GROUP BY 1")
 def _(spark, d):
     b = boxes(spark, d)
-    return spatial.boxes_overlap(b, b.withColumnRenamed("particle_id", "other"), "particle_id", "other").groupBy("particle_id").agg(F.count(F.lit(1)).alias("n"))
+    return overlap.overlap_counts(b, b, "particle_id")
 
 
 @query("box_intersects_vertex", f"{PAIRS} AND ({CORNER}) GROUP BY 1")

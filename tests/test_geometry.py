@@ -346,3 +346,12 @@ def test_overlaps_are_counted_as_pairs_are(spark, monkeypatch, by_vertex):
     assert overlap.count_overlaps(np.repeat(low, 3, 0), np.repeat(high, 3, 0), np.repeat(low, 20, 0), np.repeat(high, 20, 0), by_vertex).tolist() == np.repeat(20 * hit.sum(1), 3).tolist()
     none = b.limit(0)
     assert overlap.overlap_counts(none, b, "id", by_vertex).count() == overlap.overlap_counts(b, none, "id", by_vertex).count() == 0
+
+
+def test_queries_of_overlaps_make_no_pairs(spark, monkeypatch):
+    from lattica.plans import catalog
+
+    monkeypatch.setattr(spatial, "boxes_overlap", None)
+    boxes = spatial.bounded(particles(spark, 20))
+    monkeypatch.setattr(catalog, "boxes", lambda *_: boxes)
+    assert catalog.QUERIES["box_intersects"](spark, "").count() == catalog.QUERIES["box_intersects_vertex"](spark, "").count() == 20
