@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import shapes
 from lattica.functions.box import Box
+from lattica.operators import inside
 from lattica.operators.ids import settle
 from lattica.sources.grids import Lattice
 
@@ -36,12 +39,21 @@ def buckets_of_boxes(boxes: DataFrame, size: float) -> DataFrame:
     return boxes
 
 
+#: A task takes about so many points and particles of a bucket at most.
+MOST_POINTS, MOST_PARTICLES = 1 << 20, 1 << 18
+BUCKET = ["bx", "by", "bz"]
+
+
+def _widened(boxes: DataFrame, size: float) -> DataFrame:
+    wide = 1e-9 * size  # bounds are rounded; the test of the level decides
+    return buckets_of_boxes(boxes.withColumns({f"{e}{a}": F.col(f"{e}{a}") + w for e, w in (("l", -wide), ("h", wide)) for a in "xyz"}), size)
+
+
 def _match(points: DataFrame, particles: DataFrame, how: str) -> DataFrame:
     """Points, as a struct __pt, joined with the particles that hold them."""
     boxes = bounded(particles)
     size = bucket_size(boxes)
-    wide = 1e-9 * size  # bounds are rounded; the test of the level decides
-    near = buckets_of_boxes(boxes.withColumns({f"{e}{a}": F.col(f"{e}{a}") + w for e, w in (("l", -wide), ("h", wide)) for a in "xyz"}), size)
+    near = _widened(boxes, size)
     own = points.select(F.struct("*").alias("__pt"), *[F.floor(F.col(a) / size).alias(f"__b{a}") for a in "xyz"])
     p = tuple(F.col(f"__pt.{a}") for a in "xyz")
     condition = shapes.contains(p)
@@ -50,9 +62,53 @@ def _match(points: DataFrame, particles: DataFrame, how: str) -> DataFrame:
     return own.join(near, condition, how)
 
 
+def _dealt(own: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """own and near by bucket, and how many tasks share buckets that hold more than a task takes: np for points, nq for particles."""
+    many = lambda d, most, name: d.groupBy(*BUCKET).count().filter(F.col("count") > most).select(*BUCKET, F.ceil(F.col("count") / most).cast("int").alias(name))
+    more = settle(many(own, MOST_POINTS, "np").join(many(near, MOST_PARTICLES, "nq"), BUCKET, "full"))
+    deal = lambda d: d.join(F.broadcast(more), BUCKET, "left").withColumns({n: F.coalesce(n, F.lit(1)) for n in ("np", "nq")})  # noqa: E731  # no more rows than such tasks
+    return deal(own), deal(near), more
+
+
+def _one(n: str) -> Column:
+    return F.floor(F.rand(11) * F.col(n)).cast("int")
+
+
+def _all(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _rest(points: DataFrame, particles: DataFrame, held: bool) -> DataFrame:
+    """Points that some particle holds, or none; each bucket's points are held against its particles in a tree."""
+    if points.isStreaming:
+        return _match(points, particles, "left_semi" if held else "left_anti").select("__pt.*")
+    boxes = bounded(particles)
+    size = bucket_size(boxes)
+    near = _widened(boxes, size).select(*BUCKET, "kind", *inside.NUMBERS)
+    own = points.select(F.struct("*").alias("__pt"), *[F.floor(F.col(a) / size).alias(f"b{a}") for a in "xyz"])
+    own, near, more = _dealt(own, near)
+    most = more.agg(F.max("nq")).first()[0] or 1
+    own, near = settle(own.select("__pt", *BUCKET, _one("np").alias("pl"), F.lit(False).alias("hit"))), near.withColumn("pass", _one("nq")).withColumn("pl", _all("np")).drop("np", "nq")
+    near = settle(near) if most > 1 else near
+    key, schema = [*BUCKET, "pl"], own.schema
+
+    def test(a: pa.Table, b: pa.Table) -> pa.Table:
+        hit = a["hit"].to_numpy().astype(bool)
+        if a.num_rows and b.num_rows and not hit.all():
+            p = np.concatenate([np.stack([at.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xyz"], 1) for at in a["__pt"].chunks])
+            open_ = ~hit & ~np.isnan(p).any(1)
+            hit[open_] = inside.inside_any(p[open_], inside.particles_of(b)[1])
+        return a.set_column(a.schema.get_field_index("hit"), "hit", pa.array(hit, pa.bool_()))
+
+    for k in range(most):  # more than one only where a bucket has more particles than a task takes
+        got = own.groupBy(*key).cogroup(near.filter(F.col("pass") == k).drop("pass").groupBy(*key)).applyInArrow(test, schema)
+        own = settle(got) if k < most - 1 else got
+    return own.filter(F.col("hit") if held else ~F.col("hit")).select("__pt.*")
+
+
 def points_inside(points: DataFrame, particles: DataFrame) -> DataFrame:
-    """Points (with x, y, z) in any particle: a semi-join by bucket; large buckets are left to adaptive skew handling."""
-    return _match(points, particles, "left_semi").select("__pt.*")
+    """Points (with x, y, z) in any particle."""
+    return _rest(points, particles, True)
 
 
 def points_outside(points: DataFrame, particles: DataFrame) -> DataFrame:
@@ -60,6 +116,30 @@ def points_outside(points: DataFrame, particles: DataFrame) -> DataFrame:
     return _match(points, particles, "left_anti").select("__pt.*")
 
 
+def counts_inside(points: DataFrame, particles: DataFrame) -> DataFrame:
+    """(particle_id, n): how many points each particle holds, without a row for each pair; particles without any are left out."""
+    boxes = bounded(particles)
+    size = bucket_size(boxes)
+    near = _widened(boxes, size).select(*BUCKET, "particle_id", "kind", *inside.NUMBERS)
+    at = points.select(*[F.col(a).cast("double").alias(a) for a in "xyz"]).dropna()
+    own, near, _ = _dealt(at.select("*", *[F.floor(F.col(a) / size).alias(f"b{a}") for a in "xyz"]), near)
+    own, near = own.withColumn("pl", _one("np")).withColumn("pq", _all("nq")), near.withColumn("pq", _one("nq")).withColumn("pl", _all("np"))
+    key = [*BUCKET, "pl", "pq"]
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, kinds = inside.particles_of(b)
+        n = np.zeros(b.num_rows, np.int64)
+        if a.num_rows and b.num_rows:
+            for r, c in zip(rows, inside.count_inside(inside.coordinates(a, ("x", "y", "z")), kinds), strict=True):
+                n[r] = c
+        hit = pa.array(np.flatnonzero(n))
+        return pa.table({"particle_id": b["particle_id"].take(hit), "n": pa.array(n).take(hit)})
+
+    id_type = particles.schema["particle_id"].dataType.simpleString()
+    got = own.drop("np", "nq").groupBy(*key).cogroup(near.drop("np", "nq").groupBy(*key)).applyInArrow(count, f"particle_id {id_type}, n long")
+    return got.groupBy("particle_id").agg(F.sum("n").alias("n"))
+
+
 def pairs_inside(points: DataFrame, particles: DataFrame) -> DataFrame:
     """Each point with each particle that holds it: the points' columns and particle_id."""
     return _match(points, particles, "inner").select("__pt.*", "particle_id")

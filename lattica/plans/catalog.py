@@ -432,7 +432,7 @@ def _(spark, d):
 
 @query("contains_count", f"WITH {MIXED}, {PTS} SELECT p.particle_id, count(*) AS n FROM pts t JOIN prt p ON {NEAR} WHERE {level_sql('t.x', 't.y', 't.z')} <= 1 GROUP BY 1")
 def _(spark, d):
-    return spatial.pairs_inside(points(spark, d), particles(spark, d)).groupBy("particle_id").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.counts_inside(points(spark, d), particles(spark, d))
 
 
 def _mask(name: str, kind: str, n: int) -> None:

@@ -355,3 +355,32 @@ def test_queries_of_overlaps_make_no_pairs(spark, monkeypatch):
     boxes = spatial.bounded(particles(spark, 20))
     monkeypatch.setattr(catalog, "boxes", lambda *_: boxes)
     assert catalog.QUERIES["box_intersects"](spark, "").count() == catalog.QUERIES["box_intersects_vertex"](spark, "").count() == 20
+
+
+def _crowd(spark):
+    """Points on lines, copies of points and particles, null coordinates, and particles of all kinds."""
+    rng = np.random.default_rng(8)
+    p = particles(spark, 24).withColumn("kind", F.element_at(F.array(*map(F.lit, ("sphere", "prism", "ellipsoid", "superellipsoid"))), (F.col("particle_id") % 4 + 1).cast("int")))
+    p = p.unionByName(p.filter("particle_id < 6").withColumn("particle_id", F.col("particle_id") + 100))
+    at = np.stack([rng.integers(0, 11, 900) / 10, rng.uniform(0, 1, 900), rng.integers(0, 11, 900) / 10], 1)
+    at[600:] = at[300:600]
+    rows = [(i, *map(float, r)) for i, r in enumerate(at)] + [(900, None, 0.5, 0.5), (901, 50.0, 50.0, -50.0)]
+    return spark.createDataFrame(rows, "id long, x double, y double, z double"), p
+
+
+def test_counts_and_masks_make_no_pairs(spark, monkeypatch):
+    """Trees of points, with buckets dealt to several tasks and passes, hold what the join of pairs does."""
+    df, p = _crowd(spark)
+    pairs = spatial.pairs_inside(df.select("id", "x", "y", "z"), p).select("id", "particle_id").collect()
+    counts = {}
+    for r in pairs:
+        counts[r["particle_id"]] = counts.get(r["particle_id"], 0) + 1
+    held = {r["id"] for r in pairs}
+    assert len(held) > 50 and len(counts) > 15
+    monkeypatch.setattr(spatial, "_match", None)
+    for points, some in ((1 << 20, 1 << 18), (40, 5)):
+        monkeypatch.setattr(spatial, "MOST_POINTS", points)
+        monkeypatch.setattr(spatial, "MOST_PARTICLES", some)
+        assert {r["particle_id"]: r["n"] for r in spatial.counts_inside(df, p).collect()} == counts
+        assert sorted(r["id"] for r in spatial.points_inside(df, p).collect()) == sorted(held)
+    assert spatial.counts_inside(df.limit(0), p).count() == 0
