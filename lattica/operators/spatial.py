@@ -113,7 +113,7 @@ def points_inside(points: DataFrame, particles: DataFrame) -> DataFrame:
 
 def points_outside(points: DataFrame, particles: DataFrame) -> DataFrame:
     """The complement of points_inside."""
-    return _match(points, particles, "left_anti").select("__pt.*")
+    return _rest(points, particles, False)
 
 
 def counts_inside(points: DataFrame, particles: DataFrame) -> DataFrame:

@@ -383,4 +383,5 @@ def test_counts_and_masks_make_no_pairs(spark, monkeypatch):
         monkeypatch.setattr(spatial, "MOST_PARTICLES", some)
         assert {r["particle_id"]: r["n"] for r in spatial.counts_inside(df, p).collect()} == counts
         assert sorted(r["id"] for r in spatial.points_inside(df, p).collect()) == sorted(held)
-    assert spatial.counts_inside(df.limit(0), p).count() == 0
+        assert sorted(r["id"] for r in spatial.points_outside(df, p).collect()) == sorted(set(range(902)) - held)
+    assert spatial.points_outside(df, p.limit(0)).count() == 902 and spatial.counts_inside(df.limit(0), p).count() == 0
