@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import shapes
 from lattica.functions.box import Box
+from lattica.operators.inside import Particles
 
 #: Gaps under about a thousandth of the particle may need more steps to be proved, and count as touching.
 MOST_STEPS = 256
@@ -58,6 +59,16 @@ def particle_support(d: np.ndarray, r: np.ndarray, e: np.ndarray, kind: np.ndarr
     return np.einsum("nij,ni->nj", m, s)
 
 
+def holds(p: np.ndarray, kind: np.ndarray, r: np.ndarray, e: np.ndarray, center: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether each row's point lies in its particle, and not just at the surface."""
+    out = np.zeros(len(p), bool)
+    for k in ("sphere", "prism", "ellipsoid", "superellipsoid"):
+        at = np.flatnonzero(kind == k)
+        some = Particles(k, np.concatenate([r[at], e[at], center[at], m[at].reshape(-1, 9)], 1))
+        out[at] = some.norm(some.local(p[at])) <= 1 - 1e-9
+    return out
+
+
 def meet(low: np.ndarray, high: np.ndarray, f: pd.DataFrame) -> np.ndarray:
     """For each row, whether box and particle meet: their difference is searched for the origin.
 
@@ -69,7 +80,8 @@ def meet(low: np.ndarray, high: np.ndarray, f: pd.DataFrame) -> np.ndarray:
     center, m = f[["x", "y", "z"]].to_numpy(float), _matrices(f[["q0", "q1", "q2", "q3"]].to_numpy(float))
     v = (low + high) / 2 - center
     apart = np.zeros(len(f), bool)
-    live = np.arange(len(f))
+    # The search takes most steps over pairs that overlap; the box's point next to the particle's centre settles nearly all of those.
+    live = np.flatnonzero(~holds(np.clip(center, low, high), kind, r, e, center, m))
     for _ in range(MOST_STEPS):
         d = v[live]
         box = np.where(-d > 0, high[live], low[live])

@@ -72,6 +72,8 @@ def refine(particles: DataFrame, root: Root, depth: int, least_bag: int = 1) ->
             break
         cells = children(parents.select(*CELL, "id"))
         going = bag.drop("nvert").join(parents.select(*CELL), CELL, "left_semi")
+        # The tests take far longer than their bytes tell, so the number of tasks isn't left to adaptive merging.
+        going = going.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "particle_id")
         bag = meeting(children(going).select("*", *root.box().columns())).drop(*[f"{e}{a}" for e in "lh" for a in "xyz"]).withColumn("nvert", corners_inside(root))
     return done, bags
 

@@ -385,3 +385,20 @@ def test_counts_and_masks_make_no_pairs(spark, monkeypatch):
         assert sorted(r["id"] for r in spatial.points_inside(df, p).collect()) == sorted(held)
         assert sorted(r["id"] for r in spatial.points_outside(df, p).collect()) == sorted(set(range(902)) - held)
     assert spatial.points_outside(df, p.limit(0)).count() == 902 and spatial.counts_inside(df.limit(0), p).count() == 0
+
+
+def test_boxes_that_plainly_meet_need_no_search(monkeypatch):
+    import pandas as pd
+
+    from lattica.operators import collide
+
+    kinds = ["sphere", "prism", "ellipsoid", "superellipsoid"]
+    f = pd.DataFrame({"kind": kinds, **{c: [v] * 4 for c, v in zip(shapes.COLUMNS, (1.0, 1.0, 1.0, 1.2, 0.8, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), strict=True)}})
+    low, high = np.full((4, 3), 0.2), np.full((4, 3), 3.0)
+    apart = collide.meet(low + 5, high + 5, f)
+    monkeypatch.setattr(collide, "particle_support", None)
+    monkeypatch.setattr(collide, "MOST_STEPS", 0)
+    assert not apart.any() and collide.holds(np.full((4, 3), 0.2), f["kind"].to_numpy(), np.ones((4, 3)), np.ones((4, 2)), np.zeros((4, 3)), np.tile(np.eye(3), (4, 1, 1))).all()
+    monkeypatch.setattr(collide, "MOST_STEPS", 1)
+    monkeypatch.setattr(collide, "particle_support", lambda d, *_: np.zeros_like(d) if not len(d) else pytest.fail("searched"))
+    assert collide.meet(low, high, f).all()
