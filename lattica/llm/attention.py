@@ -1,12 +1,13 @@
-"""A causal self-attention model of subword ids in numpy: probabilities, gradients and their training steps.
+"""A causal self-attention model of ids (words and subwords) in numpy: probabilities, gradients and their training steps.
 
 Texts are laid out in blocks of ``BLOCK`` inputs, one text after another, each
 beginning a new block. A window is a block and the one before it, so windows
 overlap by half, every input is the query of exactly one window, and sees
 ``BLOCK`` inputs before its block. One layer of attention with a bias for each
 pair of places in a window, and a softmax of three levels: ``FAN`` branches, as
-many of each, and as many subwords of each of those. A branch's rarest subwords
-share its last leaf and part that leaf's mass by their counts.
+many twigs of each, and as many leaves of each of those. The commonest ids have a
+leaf of their own; the others share the last leaf of a twig, those of one input
+vector in the same twig, and part that leaf's mass by their counts.
 """
 
 from __future__ import annotations
@@ -20,25 +21,31 @@ from lattica.llm.subwords import flat_places
 BLOCK, WIDTH = 16, 16
 #: Branches at each level of the softmax.
 FAN = 16
-#: So many of the most frequent subwords start with an input vector of their own, the others with zero.
+#: Input vectors of so many of the most frequent ids start at random, the others at zero.
 STARTED = 2048
 BLOCKS_AT_ONCE = 1024
+#: Blocks of a training step.
+BLOCKS_A_STEP = 512
 #: Targets of one twig are dealt to tiles of so many rows, all of which are multiplied at once.
 TILE = 32
 
 
 class Vocabulary:
-    """Leaf of each subword id, by falling corpus count, so that branches have like mass: leaf = (branch * FAN + twig) * FAN + place."""
+    """Leaf of each id, by falling corpus count, so that branches have like mass: leaf = (branch * FAN + twig) * FAN + place."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, inputs: np.ndarray | None = None):
         self.size = len(counts) + 1
         self.end = len(counts)  # ends a text; as an input also starts one
+        #: the row of each id's input vector: its own, unless ``inputs`` has some ids share one (the end has its own)
+        self.inputs = np.arange(self.size, dtype=np.int32) if inputs is None else np.append(inputs, inputs.max(initial=-1) + 1).astype(np.int32)
+        self.rows = int(self.inputs[-1]) + 1
         n = np.append(counts, 0).astype(np.float64)
         n[self.end] = max(1.0, n.sum() / 1000)
         self.order = np.argsort(-n, kind="stable")
         rank = np.empty(self.size, np.int64)
         rank[self.order] = np.arange(self.size)
-        twig = rank % (FAN * FAN)
+        alike = (self.inputs.astype(np.int64) * 2654435761 >> 7) % (FAN * FAN)
+        twig = np.where(rank < (FAN - 1) * FAN * FAN, rank % (FAN * FAN), alike)
         self.leaf = (twig * FAN + np.minimum(rank // (FAN * FAN), FAN - 1)).astype(np.int16)  # numpy sorts short integers by radix
         mass = n + 0.5
         sums = np.bincount(self.leaf, mass, FAN**3) + 1e-9
@@ -81,18 +88,18 @@ class Blocks:
 
 
 class Model:
-    """Weights are views into one flat vector. e: a vector for each subword, proj: what makes queries, keys, values and the direct path of it."""
+    """Weights are views into one flat vector. e: a vector for each input row, proj: what makes queries, keys, values and the direct path of it."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
         self.vocabulary = vocabulary
         w = WIDTH
         levels = {"u0": (1, w + 1, FAN), "u1": (FAN, w + 1, FAN), "u2": (FAN * FAN, w + 1, FAN)}  # the last row of each is its bias
-        self.shapes = {"e": (vocabulary.size, w), "proj": (w, 4 * w), "b": (w,), "place": (BLOCK, 2 * BLOCK), "a": (w, w), **levels}
+        self.shapes = {"e": (vocabulary.rows, w), "proj": (w, 4 * w), "b": (w,), "place": (BLOCK, 2 * BLOCK), "a": (w, w), **levels}
         self.length = sum(map(math.prod, self.shapes.values()))
         if flat is None:
             rng = np.random.default_rng(7)
             start = {n: np.zeros(x) for n, x in self.shapes.items()}
-            start["e"][vocabulary.order[:STARTED]] = rng.normal(0, 0.1, (min(STARTED, vocabulary.size), w))
+            start["e"][vocabulary.inputs[vocabulary.order[:STARTED]]] = rng.normal(0, 0.1, (min(STARTED, vocabulary.size), w))
             start["proj"], start["a"] = (rng.normal(0, 1 / math.sqrt(w), self.shapes[n]) for n in ("proj", "a"))
             for n, x in zip(levels, vocabulary.logs, strict=True):
                 start[n][:, -1] = x
@@ -100,8 +107,10 @@ class Model:
         self.flat = np.asarray(flat, np.float32).copy()
         for n, x in self.parts(self.flat).items():
             setattr(self, n, x)
-        self.m = self.s = np.zeros(self.length, np.float32)
+        self.m, self.s = np.zeros(self.length, np.float32), np.zeros(self.length, np.float32)
         self.steps = 0
+        self.shown = np.zeros(vocabulary.rows, np.float32)  # how many steps have moved a row of e
+        self.plain = False
         i, j = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None]
         self.seen = (j <= i).astype(np.float32)
         self.own = (j >= BLOCK).astype(np.float32)
@@ -229,7 +238,7 @@ class Model:
 
     def total_gradient(self, blocks: Blocks, grad: np.ndarray) -> int:
         """Add the gradient of all targets of the blocks to a flat one; gives how many there are."""
-        out, t, held, end = self.parts(grad), self.tables(self.e), [], self.vocabulary.end
+        out, t, held, end = self.parts(grad), self.tables(self.e), [], self.vocabulary.inputs[-1]
         for i in range(0, len(blocks.x), BLOCKS_AT_ONCE):
             held.append(self.gradient(*blocks.run(i, min(len(blocks.x), i + BLOCKS_AT_ONCE), end), self.e, t, out))
             if len(held) == 32 or i + BLOCKS_AT_ONCE >= len(blocks.x):
@@ -239,24 +248,42 @@ class Model:
         return int((blocks.y >= 0).sum())
 
     def step(self, grad: np.ndarray, rate: float) -> None:
-        """A step of Adam along the mean gradient."""
+        """A step of Adam along the mean gradient; of a plain model, along what is given, as it is."""
+        if self.plain:
+            self.flat -= np.float32(rate) * grad
+            return
         self.steps += 1
         self.m = 0.9 * self.m + np.float32(0.1) * grad
         self.s = 0.99 * self.s + np.float32(0.01) * grad * grad
         self.flat -= (rate * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.s / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
 
-    def train(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rate: float) -> None:
-        """A step on the mean log loss of some windows."""
-        grad, n = np.zeros(self.length, np.float32), max(1, int((y >= 0).sum()))
-        out, (used, x2) = self.parts(grad), np.unique(x, return_inverse=True)
-        e = self.e[used]
-        places, parts = self.gradient(x2.reshape(x.shape), y, first, e, self.tables(e), out)
-        out["e"][used] = np.bincount(places.ravel(), parts.ravel(), e.size).reshape(e.shape)
-        self.step(grad / np.float32(n), rate)
+    def train(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rate: float) -> int:
+        """A step of Adam on the mean log loss of some windows; gives how many targets they have. Input rows that aren't there stay as they are, and so do their moments."""
+        n, tail = int((y >= 0).sum()), self.e.size
+        used, x2 = np.unique(x, return_inverse=True)
+        e, grad = self.e[used], np.zeros(self.length, np.float32)
+        places, parts = self.gradient(x2.reshape(x.shape), y, first, e, self.tables(e), self.parts(grad))
+        own = np.bincount(places.ravel(), parts.ravel(), e.size).reshape(e.shape).astype(np.float32)
+        self.steps += 1
+        self.shown[used] += 1
+        m, s = (a[:tail].reshape(self.e.shape) for a in (self.m, self.s))
+        rest = (slice(None), grad[tail:], self.flat[tail:], self.m[tail:], self.s[tail:], np.float32(self.steps))
+        for at, g, weights, m, s, t in ((used, own, self.e, m, s, self.shown[used][:, None]), rest):
+            g = g / np.float32(max(1, n))
+            m[at] = a = np.float32(0.9) * m[at] + np.float32(0.1) * g
+            s[at] = b = np.float32(0.99) * s[at] + np.float32(0.01) * g * g
+            weights[at] -= np.float32(rate) * (a / (1 - np.float32(0.9) ** t)) / (np.sqrt(b / (1 - np.float32(0.99) ** t)) + np.float32(1e-8))
+        return n
+
+    def learn(self, blocks: Blocks, rate: float) -> int:
+        """Steps on all blocks, about BLOCKS_A_STEP that follow each other at a time; gives how many targets they have."""
+        many = -(-len(blocks.x) // BLOCKS_A_STEP)
+        edges = [k * len(blocks.x) // many for k in range(many + 1)] if many else []
+        return sum(self.train(*blocks.run(i, j, self.vocabulary.inputs[-1]), rate) for i, j in zip(edges, edges[1:], strict=False))
 
     def scores(self, blocks: Blocks, t: np.ndarray, texts: int) -> np.ndarray:
         """log10 probability of each text, its end included."""
-        out, end = np.zeros(texts), self.vocabulary.end
+        out, end = np.zeros(texts), self.vocabulary.inputs[-1]
         for i in range(0, len(blocks.x), BLOCKS_AT_ONCE):
             j = min(len(blocks.x), i + BLOCKS_AT_ONCE)
             x, y, first = blocks.run(i, j, end)

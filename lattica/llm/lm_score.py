@@ -1,14 +1,18 @@
-"""Language-model scores: a causal self-attention model on subword ids, and a word baseline.
-
-The model (see ``attention``) is trained in numpy. The softmax's branches, their
-first biases and the shares within a leaf come from counts over all training
-documents. The first weights come from steps on the driver on windows of a
-bounded sample of training documents (``START_DOCS``); then all training
-documents, dealt to ``ROUNDS`` rounds by a hash, take part: a round's step goes
-along the mean gradient over every window of all its documents, summed over all
-tasks. So the weights follow from the documents and not from how files or
-partitions hold them (but for the rounding of sums). Texts are scored in
-overlapping windows, batched and masked, each subword once.
+"""Language-model scores: a causal self-attention model on words and subwords, and a word baseline.
+
+The model (see ``attention``) is trained in numpy. Words that are common, and occur
+``UNIT_LEAST`` times or more in training documents, are an id each; any other word
+is spelled by the ids of its subwords, so those learn from training documents' rare
+words what unseen words look like. The softmax's branches, their first biases and
+the shares within a leaf come from counts over all training documents; nothing else
+is fitted before the first round.
+
+All training documents are dealt to rounds, and those of a round to cells of about
+``WORDS_A_CELL`` words, by a hash. From a round's weights each cell takes steps on
+every window of all its documents, in the order of their hashes; the mean of what
+the cells have moved, weighed by their targets, makes the weights of the next round.
+So the weights follow from the documents and not from how files or partitions hold
+them. Texts are scored in overlapping windows, batched and masked, each id once.
 
 The baseline needs the corpus count of each word. The ``FREQUENT`` commonest
 words are broadcast; the others, each a small part of all, are joined, a row for
@@ -25,28 +29,36 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.attention import Blocks, Model, Vocabulary
 from lattica.llm.common import cut, delete_at_exit, shared_dir
-from lattica.llm.subwords import evenly, split_words, tokenizer_path, word_ids
+from lattica.llm.subwords import evenly, split_words, spread, tokenizer_path, word_ids
 
 #: At most so many words are broadcast, none of them longer than LONGEST bytes: 48 MB at most.
 FREQUENT, LONGEST = 1 << 19, 64
-START_DOCS, START_BLOCKS, START_STEPS, START_RATE = 2048, 8, 1000, 0.01
-ROUNDS, ROUND_RATE = 16, 0.02
-WINDOWS_A_STEP = 128
-#: Texts of about so many ids are taken at once.
+#: A common word that training documents have so often is an id; one that they have once stands for those they lack.
+UNIT_LEAST = 2
+#: So many of these have an input vector of their own, any other has that of its last subword.
+OWN_INPUTS = 4096
+#: Rounds at the first rate, and those after them, whose rate falls.
+START_STEPS, START_RATE = 4, 0.04
+ROUNDS, ROUND_RATE = 16, 0.04
+WORDS_A_CELL = 1 << 19
+#: A cell's texts are laid out in blocks so many bytes at a time.
+LEARNT_AT_ONCE = 1 << 20
+#: Texts of about so many bytes of ids are scored at once.
 IDS_AT_ONCE = 1 << 21
 #: Texts that are split together have about so many bytes: a task's arrays take some twenty times that.
 BYTES_AT_ONCE = 1 << 23
 #: Rows of words that a task holds before it sums them up.
 MOST_HELD = 1 << 20
-#: A gradient travels in so many parts.
+#: What a cell has moved travels in so many parts.
 PARTS = 16
 COUNTS = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("t", pa.int64())])
-ROWS = pa.schema([("part", pa.string()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("ids", pa.binary()), ("word", pa.binary())])
+ROWS = pa.schema([("part", pa.string()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("ids", pa.binary()), ("h", pa.int64()), ("word", pa.binary())])
 
 
 def fresh_memory() -> None:
@@ -106,145 +118,154 @@ def _count_batches(path: str):
     return run
 
 
-def _row_batches(path: str, frequent, total: float):
+def with_units(encoder, words: pa.DictionaryArray, n: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, how many each has): a word whose unit (one for each of the dictionary) isn't negative is that one id, behind the subwords'; the others are spelled."""
+    spelled = unit < 0
+    flat, some = encoder.distinct(words.dictionary.filter(pa.array(spelled)))
+    many = np.ones(len(unit), np.int64)
+    many[spelled] = some
+    theirs = np.repeat(spelled, many)
+    ids = np.empty(len(theirs), np.uint32)
+    ids[theirs], ids[~theirs] = flat, encoder.size + unit[~spelled]
+    return spread(ids, many, words.indices.to_numpy(), n)
+
+
+def _row_batches(path: str, frequent, units: int, total: float, rounds: int):
     """Of each document a row with its ids, and what frequent words make of its baseline; of each other word it has a row with how often."""
 
     def run(batches):
         fresh_memory()
         encoder = word_ids(path)
-        kind = np.uint16 if encoder.size < 1 << 16 else np.uint32
+        kind = _kind(encoder.size + units)
         with pa.ipc.open_stream(frequent.value) as stream:
             known = stream.read_all().combine_chunks()
         names, c = known["word"].combine_chunks() if known.num_rows else pa.array([], pa.binary()), np.append(known["c"].to_numpy(), 0)
         logs = np.log10((c + 1) / total)
         for b in evenly(batches, 2, BYTES_AT_ONCE):
             words, n = split_words(b.column(2), lower=True)
-            ids, size = encoder.ids(words, n)
+            place = pc.fill_null(pc.index_in(words.dictionary.cast(pa.binary()), names), -1).to_numpy()
+            ids, size = with_units(encoder, words, n, np.where(place < units, place, -1))
             data, ends = memoryview(ids.astype(kind)).cast("B"), np.cumsum(size) * np.dtype(kind).itemsize
             parts = [bytes(data[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             docs = b.column(1).to_pylist()
-            rounds = ["held" if is_held_out(d) else f"r{zlib.crc32(p, zlib.crc32(str(d).encode())) % ROUNDS}" for d, p in zip(docs, parts, strict=True)]
-            place = pc.fill_null(pc.index_in(words.dictionary.cast(pa.binary()), names), -1).to_numpy()
+            h = [zlib.crc32(p, zlib.crc32(str(d).encode())) for d, p in zip(docs, parts, strict=True)]
+            part = ["held" if is_held_out(d) else f"r{x % rounds}" for d, x in zip(docs, h, strict=True)]
             which, owner = words.indices.to_numpy(), np.repeat(np.arange(len(n)), n)
             there = place[which]
             found = there >= 0
             of_doc = lambda x: np.bincount(owner[found], x, len(n))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([
-                pa.array(rounds), b.column(0), b.column(1), pa.array(n), pa.array(of_doc(c[there[found]] > 0).astype(np.int64)), pa.array(of_doc(logs[there[found]])),
-                pa.array(parts, pa.binary()), pa.nulls(len(n), pa.binary())], schema=ROWS)
+                pa.array(part), b.column(0), b.column(1), pa.array(n), pa.array(of_doc(c[there[found]] > 0).astype(np.int64)), pa.array(of_doc(logs[there[found]])),
+                pa.array(parts, pa.binary()), pa.array(h, pa.int64()), pa.nulls(len(n), pa.binary())], schema=ROWS)
             pair, many = np.unique(owner[~found] * len(words.dictionary) + which[~found], return_counts=True)
             k = len(pair)
             if k:
                 row, word = np.divmod(pair, len(words.dictionary))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(k, "rare")), b.column(0).take(pa.array(row)), pa.nulls(k, pa.int64()), pa.array(many), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()),
-                    pa.nulls(k, pa.binary()), words.dictionary.take(pa.array(word)).cast(pa.binary())], schema=ROWS)
+                    pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), words.dictionary.take(pa.array(word)).cast(pa.binary())], schema=ROWS)
 
     return run
 
 
-def blocks_of(texts: pa.Array, end: int, kind) -> Blocks:
-    """The blocks of texts given as their ids' bytes."""
-    size = pc.binary_length(texts).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
-    return Blocks(np.frombuffer(b"".join(texts.to_pylist()), kind).astype(np.int32), size, end)
+def _kind(end: int):
+    return np.uint16 if end < 1 << 16 else np.uint32
 
 
-def _kind(vocabulary: Vocabulary):
-    return np.uint16 if vocabulary.end < 1 << 16 else np.uint32
+def blocks_of(texts: pa.Array, vocabulary: Vocabulary) -> Blocks:
+    """The blocks of texts given as their ids' bytes; inputs are rows of vectors."""
+    kind = _kind(vocabulary.end)
+    size = pc.binary_length(texts).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+    blocks = Blocks(np.frombuffer(b"".join(texts.to_pylist()), kind).astype(np.int32), size, vocabulary.end)
+    blocks.x = vocabulary.inputs[blocks.x]
+    return blocks
 
 
-def _gradient_batches(vocabulary: Vocabulary, weights):
-    """The summed gradient over all windows of a task's documents, in PARTS parts, and how many targets made it."""
+def _learn_batches(vocabulary, weights, rate: float):
+    """How far steps on every window of a cell's documents move the weights, in PARTS parts, and how many targets they have."""
 
     def run(batches):
         fresh_memory()
-        model, n = Model(vocabulary, np.frombuffer(weights.value, np.float32)), 0
-        grad = np.zeros(model.length, np.float64)
-        for b in evenly(batches, 0, IDS_AT_ONCE):
-            n += model.total_gradient(blocks_of(b.column(0), vocabulary.end, _kind(vocabulary)), grad)
+        before, n = np.frombuffer(weights.value, np.float32), 0
+        model = Model(vocabulary.value, before)
+        for b in evenly(batches, 0, LEARNT_AT_ONCE):
+            n += model.learn(blocks_of(b.column(0), vocabulary.value), rate)
         if n:
-            parts = np.array_split(grad.astype(np.float32), PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n] * PARTS, pa.int64())], ["k", "g", "n"])
+            parts, cell = np.array_split(model.flat - before, PARTS), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([cell] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n] * PARTS, pa.int64())], ["k", "cell", "moved", "n"])
 
     return run
 
 
-def _sum_batches(batches):
+def _mean_batches(batches):
+    """The mean of what cells have moved, weighed by their targets; a part's rows come in the order of cells, so its sum is always the same."""
     sums: dict[int, list] = {}
     for b in batches:
-        for k, g, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for k, moved, n in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
             mine = sums.setdefault(k, [0.0, 0])
-            mine[0], mine[1] = mine[0] + np.frombuffer(g, np.float32).astype(np.float64), mine[1] + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.astype(np.float32).tobytes() for g, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["k", "g", "n"])
+            mine[0], mine[1] = mine[0] + np.frombuffer(moved, np.float32).astype(np.float64) * n, mine[1] + n
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(m / n).astype(np.float32).tobytes() for m, n in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["k", "moved", "n"])
 
 
-def _score_batches(vocabulary: Vocabulary, weights):
+def _score_batches(vocabulary, weights):
     def run(batches):
         fresh_memory()
-        model = Model(vocabulary, np.frombuffer(weights.value, np.float32))
+        model = Model(vocabulary.value, np.frombuffer(weights.value, np.float32))
         tables = model.tables(model.e)
         for b in evenly(batches, 5, IDS_AT_ONCE):
-            scores = model.scores(blocks_of(b.column(5), vocabulary.end, _kind(vocabulary)), tables, b.num_rows)
+            scores = model.scores(blocks_of(b.column(5), vocabulary.value), tables, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(scores)], [*b.schema.names[:5], "score"])
 
     return run
 
 
-def frequent_words(words: DataFrame, most: int = FREQUENT) -> bytes:
-    """At most ``most`` (word, c) of at most LONGEST bytes, the commonest of all documents, as an Arrow stream."""
-    short = words.filter(F.octet_length("word") <= LONGEST)
+def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[pa.Table, Column]:
+    """At most ``most`` (word, c) of at most LONGEST bytes, the commonest of all documents, by falling c; and which rows of ``words`` they are."""
+    short = F.octet_length("word") <= LONGEST
     rank = F.floor(F.log2(F.col("t").cast("double")) * 16).cast("int")
     left, least = most, None
-    for r in sorted(short.groupBy(rank.alias("rank")).count().collect(), key=lambda r: -r["rank"]):  # under 1024 rows
+    for r in sorted(words.filter(short).groupBy(rank.alias("rank")).count().collect(), key=lambda r: -r["rank"]):  # under 1024 rows
         if r["count"] > left:
             break
         left, least = left - r["count"], r["rank"]
-    got = short.filter(rank >= least if least is not None else F.lit(False)).select("word", "c").toArrow()
+    there = short & (rank >= least) if least is not None else F.lit(False)
+    got = words.filter(there).select("word", "c").toArrow()
+    return got.sort_by([("c", "descending"), ("word", "ascending")]).combine_chunks(), there
+
+
+def as_stream(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, got.schema) as out:
-        out.write_table(got)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def start(found: DataFrame, model: Model, n_train: int) -> None:
-    """Train on blocks of about START_DOCS training documents (equal rows are one), at hashed places."""
-    vocabulary, share = model.vocabulary, min(1.0, START_DOCS / n_train)
-    some = found.select("doc_id", "ids").filter(F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 16) < math.ceil((1 << 48) * share)).distinct()
-
-    def passages(batches):
-        for b in batches:
-            out = []
-            for i, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                blocks = blocks_of(pa.array([ids], pa.binary()), vocabulary.end, _kind(vocabulary))
-                h = zlib.crc32(ids, zlib.crc32(str(i).encode()))
-                at = np.unique([zlib.crc32(f"{h}/{k}".encode()) % len(blocks.x) for k in range(START_BLOCKS)])
-                x, y, first = blocks.some(at)
-                out += [(a.tobytes(), c.tobytes(), bool(f)) for a, c, f in zip(x.reshape(len(at), -1), y, first, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["x", "y", "first"])
-
-    got = sorted((r["x"], r["y"], r["first"]) for r in some.mapInArrow(passages, "x binary, y binary, first boolean").collect())  # START_BLOCKS a document
-    if not got:
-        return
-    x, y = (np.frombuffer(b"".join(g[i] for g in got), np.int32).reshape(len(got), -1) for i in (0, 1))
-    first = np.array([g[2] for g in got])
-    rng, half = np.random.default_rng(5), x.shape[1] // 2
-    for t in range(START_STEPS):
-        at = rng.integers(len(got), size=WINDOWS_A_STEP)
-        model.train(x[at].reshape(-1, half), y[at], first[at], START_RATE * (1 - 0.9 * t / START_STEPS))
-
-
-def train(parts: list[DataFrame], model: Model) -> None:
-    """One step for each part along the mean gradient over all windows of all its documents."""
-    model.m = model.s = np.zeros(model.length, np.float32)
-    model.steps = 0
+def input_rows(encoder, units: pa.Array) -> np.ndarray:
+    """The row of the input vector of each subword and unit: the commonest units have one of their own, behind the subwords'."""
+    own, last = min(len(units), OWN_INPUTS), []
+    for i in range(own, len(units), 1 << 16):
+        flat, n = encoder.distinct(units.slice(i, 1 << 16).cast(pa.large_binary()))
+        last.append(np.append(flat, 0)[np.maximum(np.cumsum(n) - 1, 0)].astype(np.int64))
+    return np.concatenate((np.arange(encoder.size + own), *last))
+
+
+def train(parts: list[DataFrame], model: Model, vocabulary, cells: int) -> int:
+    """A round for each part, in so many cells; gives how many targets all rounds had. ``vocabulary`` is the model's, broadcast."""
+    model.plain, targets = True, 0
     for k, part in enumerate(parts):
+        later = k - (len(parts) - ROUNDS)
+        rate = START_RATE if later < 0 else ROUND_RATE * (1 - 0.9 * later / ROUNDS)
         weights = part.sparkSession.sparkContext.broadcast(model.flat.tobytes())
-        grads = part.select("ids").mapInArrow(_gradient_batches(model.vocabulary, weights), "k int, g binary, n long")
-        sums = grads.repartition(PARTS, "k").mapInArrow(_sum_batches, "k int, g binary, n long").collect()  # the gradient, once
+        cell = F.pmod(F.floor(F.col("h") / len(parts)), F.lit(cells)).cast("int")
+        rows = part.select(cell.alias("cell"), "h", "doc_id", "ids").repartitionById(cells, "cell").sortWithinPartitions("h", "doc_id", "ids")
+        moved = rows.select("ids").mapInArrow(_learn_batches(vocabulary, weights, rate), "k int, cell long, moved binary, n long")
+        means = moved.repartition(PARTS, "k").sortWithinPartitions("k", "cell").mapInArrow(_mean_batches, "k int, moved binary, n long").collect()  # the weights, once
         weights.unpersist()
-        if sums:
-            sums.sort(key=lambda r: r["k"])
-            model.step(np.concatenate([np.frombuffer(r["g"], np.float32) for r in sums]) / np.float32(sums[0]["n"]), ROUND_RATE * (1 - 0.7 * k / len(parts)))
+        if means:
+            means.sort(key=lambda r: r["k"])
+            model.step(-np.concatenate([np.frombuffer(r["moved"], np.float32) for r in means]), 1.0)
+            targets += means[0]["n"]
+    return targets
 
 
 def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -265,24 +286,27 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     n, v = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     total = float(n + v + 1)
 
-    counts = np.zeros(word_ids(path).size)
-    for r in words.filter("c > 0").select("word", "c").mapInArrow(_count_batches(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each subword
+    encoder, (common, among) = word_ids(path), frequent_words(words)
+    units = common.filter(pc.greater_equal(common["c"], UNIT_LEAST)).combine_chunks()  # the first of the common words
+    counts = np.zeros(encoder.size)
+    spelled = words.filter((F.col("c") > 0) & ~(among & (F.col("c") >= UNIT_LEAST)))
+    for r in spelled.select("word", "c").mapInArrow(_count_batches(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each subword
         counts[r["id"]] = r["n"]
-    vocabulary = Vocabulary(counts)
-    model = Model(vocabulary)
+    of_units = units["word"].combine_chunks() if units.num_rows else pa.array([], pa.binary())
+    model = Model(Vocabulary(np.concatenate((counts, units["c"].to_numpy())), input_rows(encoder, of_units)))
+    vocabulary = spark.sparkContext.broadcast(model.vocabulary)
 
-    frequent = spark.sparkContext.broadcast(frequent_words(words))
+    rounds, frequent = START_STEPS + ROUNDS, spark.sparkContext.broadcast(as_stream(common))
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    schema = "part string, rid long, doc_id long, n_tokens long, n_known long, base double, ids binary, word binary"
+    schema = "part string, rid long, doc_id long, n_tokens long, n_known long, base double, ids binary, h long, word binary"
     where = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    numbered.mapInArrow(_row_batches(path, frequent, total), schema).write.partitionBy("part").parquet(where)
+    numbered.mapInArrow(_row_batches(path, frequent, units.num_rows, total, rounds), schema).write.partitionBy("part").parquet(where)
     delete_at_exit(spark, where)
     frequent.unpersist()
     found = spark.read.schema(schema).parquet(where)
 
     if ends:
-        start(found.filter("part <> 'held' AND part <> 'rare'"), model, ends)
-        train([found.filter(F.col("part") == f"r{k}") for k in range(ROUNDS)], model)
+        train([found.filter(F.col("part") == f"r{k}") for k in range(rounds)], model, vocabulary, max(1, math.ceil(n / rounds / WORDS_A_CELL)))
     weights = spark.sparkContext.broadcast(model.flat.tobytes())
     scored = found.filter("part <> 'rare'").select("rid", "doc_id", "n_tokens", "n_known", "base", "ids").mapInArrow(_score_batches(vocabulary, weights), "rid long, doc_id long, n_tokens long, n_known long, base double, score double")
     rare = found.filter("part = 'rare'").select("rid", "word", "n_tokens").join(words.select("word", "c"), "word", "left")

@@ -65,6 +65,14 @@ def evenly(batches, column: int, most: int = BYTES_AT_ONCE):
         yield joined()
 
 
+def spread(flat: np.ndarray, n: np.ndarray, which: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, how many each has): ids of distinct words lie flat, n of each; the texts' words are ``which`` of these, of_text of them in each."""
+    start = np.cumsum(n) - n
+    counts = n[which]
+    ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(of_text)))]
+    return flat[flat_places(start[which], counts)], np.diff(ends)
+
+
 SMALL = np.arange(256, dtype=np.uint8)
 SMALL[65:91] += 32
 
@@ -239,12 +247,7 @@ class WordIds:
 
     def ids(self, words: pa.DictionaryArray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many each has), of texts as ``split_words`` gives them."""
-        flat, n = self.distinct(words.dictionary)
-        which = words.indices.to_numpy()
-        start = np.cumsum(n) - n
-        counts = n[which]
-        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(of_text)))]
-        return flat[flat_places(start[which], counts)], np.diff(ends)
+        return spread(*self.distinct(words.dictionary), words.indices.to_numpy(), of_text)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self.ids(*split_words(texts))

@@ -663,6 +663,51 @@ def test_every_window_of_every_training_document_is_trained_on_whatever_the_part
     assert len(trained) == 2 * (20 + lm_score.ROUNDS)
 
 
+def test_first_weights_come_from_every_training_document_and_no_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "START_STEPS", 2)
+    monkeypatch.setattr(lm_score, "WORDS_A_CELL", 100)
+    texts = [" ".join(WORDS[(i * k) % len(WORDS)] for k in range(5 + 9 * (i % 30))) for i in range(150)] + ["", None]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    in_driver, targets = [], []
+    own, rounds = attention.Model.train, lm_score.train
+    monkeypatch.setattr(attention.Model, "train", lambda self, *a: (in_driver.append(a), own(self, *a))[1])
+    monkeypatch.setattr(lm_score, "train", lambda *a: (targets.append(rounds(*a)), targets[-1])[1])
+    assert lm_score.score_texts(spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOC)).count() == len(texts)
+    assert not in_driver and targets == [sum(len((t or "").split()) + 1 for t, h in zip(texts, held, strict=True) if not h)]
+
+
+def test_units_are_one_id_and_other_words_are_spelled():
+    encoder = subwords.word_ids(subwords.tokenizer_path())
+    words, n = subwords.split_words(pa.array(["stone river stone", "", "unseenword river"]))
+    unit = np.array([{b"stone": 5, b"river": 0}.get(w, -1) for w in words.dictionary.to_pylist()])
+    ids, size = lm_score.with_units(encoder, words, n, unit)
+    spelled = encoder.tokenizer.encode("unseenword", add_special_tokens=False).ids
+    assert ids.tolist() == [encoder.size + 5, encoder.size, encoder.size + 5, *spelled, encoder.size] and size.tolist() == [3, 0, 1 + len(spelled)]
+
+
+def test_input_rows_of_units(monkeypatch):
+    monkeypatch.setattr(lm_score, "OWN_INPUTS", 2)
+    encoder = subwords.word_ids(subwords.tokenizer_path())
+    units = ["the", "stone", "onansthwh", "river"]
+    got = lm_score.input_rows(encoder, pa.array([u.encode() for u in units], pa.binary()))
+    assert got.tolist() == [*range(encoder.size + 2), *(encoder.tokenizer.encode(u, add_special_tokens=False).ids[-1] for u in units[2:])]
+    assert lm_score.input_rows(encoder, pa.array([], pa.binary())).tolist() == list(range(encoder.size))
+
+
+def test_ids_that_share_an_input_vector_have_a_probability_each():
+    size, inputs = 9000, np.concatenate((np.arange(5000), np.arange(4000) % 700))
+    v = attention.Vocabulary(np.arange(size)[::-1] % 97, inputs)
+    m = attention.Model(v, attention.Model(v).flat + np.random.default_rng(2).normal(0, 0.2, attention.Model(v).length))
+    every = np.arange(v.size)
+    h = np.append(np.random.default_rng(1).normal(size=attention.WIDTH), 1).astype(np.float32)
+    assert m.e.shape[0] == 5001 and np.exp(m.log_probs(np.repeat(h[None], len(every), 0), every) + v.within).sum() == pytest.approx(1, abs=1e-4)
+    text = np.random.default_rng(3).integers(0, size, 70)
+    blocks = attention.Blocks(text.astype(np.int32), np.array([70]), v.end)
+    blocks.x = v.inputs[blocks.x]
+    alike = type("Alike", (), {"vocabulary": v, "e": m.e[v.inputs], **{k: getattr(m, k) for k in ("proj", "place", "a", "b", "u0", "u1", "u2")}})
+    assert m.scores(blocks, m.tables(m.e), 1) == pytest.approx([plain_log10(alike, text.tolist())], rel=1e-4)
+
+
 def test_base_scores_equal_brute_force(spark):
     rows = [doc(i, prose(i % 15, 40).title()) for i in range(40)] + [doc(50, "unseenword"), doc(51, None)]
     got = {r["doc_id"]: r for r in lm_score.score_texts(spark.createDataFrame(rows, DOC)).collect()}
