@@ -13,6 +13,7 @@ vector in the same twig, and part that leaf's mass by their counts.
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import numpy as np
 
@@ -26,8 +27,16 @@ STARTED = 2048
 BLOCKS_AT_ONCE = 1024
 #: Blocks of a training step.
 BLOCKS_A_STEP = 512
-#: Targets of one twig are dealt to tiles of so many rows, all of which are multiplied at once.
-TILE = 32
+
+
+def every(f, *args) -> None:
+    """Call f with the first of all args, with the second, and so on: small products take less than a loop around them."""
+    deque(map(f, *args), 0)
+
+
+def outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of all rows' outer products, some rows at a time: BLAS takes longer over all of them."""
+    return sum(a[i : i + 256].T @ b[i : i + 256] for i in range(0, len(a), 256))
 
 
 class Vocabulary:
@@ -110,6 +119,7 @@ class Model:
         self.m, self.s = np.zeros(self.length, np.float32), np.zeros(self.length, np.float32)
         self.steps = 0
         self.shown = np.zeros(vocabulary.rows, np.float32)  # how many steps have moved a row of e
+        self.there, self.number = np.zeros(vocabulary.rows, bool), np.zeros(vocabulary.rows, np.intp)  # of a step's input rows, and the places of those it has
         self.plain = False
         i, j = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None]
         self.seen = (j <= i).astype(np.float32)
@@ -137,7 +147,7 @@ class Model:
         """The last layer at each query and, behind it, 1. t: (windows, 2 BLOCK, 4 WIDTH) rows of the table."""
         w, late = WIDTH, slice(BLOCK, None)
         q, k, v = t[:, late, :w], t[:, :, w : 2 * w], t[:, :, 2 * w : 3 * w]
-        s = q @ k.transpose(0, 2, 1)
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))  # BLAS takes longer over small ones that are turned
         s += self.place
         np.clip(s, -60, 60, out=s)  # so no exponential overflows, nor do all vanish
         np.exp(s, out=s)
@@ -147,104 +157,102 @@ class Model:
         over = 1 / (s.reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), np.float32))
         o = (s @ v).reshape(-1, w)
         o *= over
-        h = np.empty((len(o), w + 1), np.float32)
-        x = h[:, :w]
-        np.matmul(o, self.a, out=x)
-        x += t[:, late, 3 * w :].reshape(-1, w)
+        x = o @ self.a
+        x.reshape(len(t), BLOCK, w)[:] += t[:, late, 3 * w :]
         np.tanh(x, out=x)
-        h[:, w] = 1
-        return h, (q, k, v, s, over, o)
+        h = np.ones((len(o), w + 1), np.float32)
+        h[:, :w] = x
+        return h, (q, k, v, s, over, o, x)
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray, back: bool = False):
-        """Natural log of the targets' probabilities but for their share of a leaf; with ``back`` also gradients of the negative sum, by h and by weights."""
+    def log_probs(self, h: np.ndarray, y: np.ndarray, back: bool = False, there: np.ndarray | None = None):
+        """Natural log of the targets' probabilities but for their share of a leaf; with ``back`` also gradients of the negative sum, by h (but for its last column; zero in rows that aren't ``there``) and by weights. Targets are those of the rows ``there`` of h, or of all."""
         leaf = self.vocabulary.leaf[y]
         order = np.argsort(leaf, kind="stable")
         leaf = leaf[order].astype(np.int32)
-        many = np.bincount(leaf >> 4, minlength=FAN * FAN)
-        tiles = -(-many // TILE)
-        twig = np.repeat(np.arange(FAN * FAN), tiles)
-        place = flat_places((np.cumsum(tiles) - tiles) * TILE, many)
-        rows = np.zeros((len(twig) * TILE, h.shape[1]), np.float32)
-        rows[place] = h[order]
-        rows = rows.reshape(len(twig), TILE, -1)
-        u = np.concatenate((np.broadcast_to(self.u0, (len(twig), *self.u0.shape[1:])), self.u1[twig >> 4], self.u2[twig]), 2)
-        z = (rows @ u).reshape(-1, FAN)  # three rows for each target, a level each
+        who, n = order if there is None else there[order], len(order)
+        ends = np.searchsorted(leaf, np.arange(0, FAN**3 + 1, FAN)).tolist()
+        runs = [slice(i, j) for i, j in zip(ends, ends[1:], strict=False)]  # targets of a twig follow each other
+        u, rows, z = self.levels(), h.take(who, 0), np.empty((n, 3 * FAN), np.float32)
+        of_rows, of_z = [rows[run] for run in runs], [z[run] for run in runs]
+        every(np.dot, of_rows, u, of_z)
         np.clip(z, -60, 60, out=z)
-        row = place * (3 * FAN)
+        row = np.arange(0, 3 * FAN * n, 3 * FAN)
         at = [row + (leaf >> 8), row + (FAN + (leaf >> 4 & FAN - 1)), row + (2 * FAN + (leaf & FAN - 1))]
         flat = z.ravel()
-        mine = flat[at[0]] + flat[at[1]] + flat[at[2]]
+        mine = flat.take(at[0]) + flat.take(at[1]) + flat.take(at[2])
         np.exp(z, out=z)
-        total = z @ np.ones((FAN, 1), np.float32)
-        logs = np.log(total.reshape(-1, 3)[place])
-        out = np.empty(len(h), np.float32)
-        out[order] = mine - (logs[:, 0] + logs[:, 1] + logs[:, 2])  # numpy sums short rows slowly
+        z3 = z.reshape(-1, FAN)
+        total = z3 @ np.ones((FAN, 1), np.float32)
+        out = np.empty(n, np.float32)
+        out[order] = mine - (np.log(total).reshape(-1, 3) @ np.ones((3, 1), np.float32)).ravel()  # numpy sums short rows slowly
         if not back:
             return out
-        z /= total
+        z3 *= 1 / total
         for a in at:
             flat[a] -= 1
-        there = np.zeros(len(z) // 3, np.float32)
-        there[place] = 1
-        z = z.reshape(len(twig), TILE, 3 * FAN)
-        z *= there.reshape(len(twig), TILE, 1)
-        du = rows.transpose(0, 2, 1) @ z
-        g = {"u0": du[:, :, :FAN].sum(0, keepdims=True), "u1": np.zeros_like(self.u1), "u2": np.zeros_like(self.u2)}
-        for name, mid, k in (("u1", slice(FAN, 2 * FAN), twig >> 4), ("u2", slice(2 * FAN, None), twig)):
-            if len(k):
-                starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-                g[name][k[starts]] = np.add.reduceat(du[:, :, mid], starts, axis=0)
-        dh = np.empty_like(h)
-        dh[order] = (z @ u.transpose(0, 2, 1)).reshape(-1, h.shape[1])[place]
-        return out, dh, g
-
-    def gradient(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, e: np.ndarray, t: np.ndarray, out: dict[str, np.ndarray]):
-        """Add the gradient of the summed log loss of targets y to ``out``, by name, but for ``e``, of which parts (places, gradients) are returned. x numbers rows of e and of its table t."""
+        du, d = np.empty_like(u), np.empty((n + 1, WIDTH), np.float32)
+        d[n] = 0  # what rows without a target have
+        every(np.dot, [r.T for r in of_rows], of_z, du)
+        every(np.dot, of_z, u[:, :WIDTH].transpose(0, 2, 1), [d[run] for run in runs])
+        place = np.full(len(h), n)
+        place[who] = np.arange(n)
+        by_branch = du.reshape(FAN, FAN, WIDTH + 1, 3 * FAN).sum(1)
+        return out, d.take(place, 0), {"u0": by_branch[:, :, :FAN].sum(0, keepdims=True), "u1": by_branch[:, :, FAN : 2 * FAN], "u2": du[:, :, 2 * FAN :]}
+
+    def levels(self) -> np.ndarray:
+        """Of each twig the weights of its three levels side by side."""
+        u = np.empty((FAN, FAN, WIDTH + 1, 3 * FAN), np.float32)
+        u[..., :FAN], u[..., FAN : 2 * FAN], u[..., 2 * FAN :] = self.u0, self.u1[:, None], self.u2.reshape(FAN, FAN, WIDTH + 1, FAN)
+        return u.reshape(FAN * FAN, WIDTH + 1, 3 * FAN)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, e: np.ndarray, t: np.ndarray):
+        """The gradient of the summed log loss of targets y: by name, but for ``e``, of which rows and their parts (one column each) are given. x numbers rows of e and of its table t."""
         w, n = WIDTH, len(y)
         rows = t.take(x.ravel(), 0)
-        h, (q, k, v, s, over, o) = self.hidden(self.windows(rows, n), first)
+        h, (q, k, v, s, over, o, last) = self.hidden(self.windows(rows, n), first)
         there = np.flatnonzero(y.ravel() >= 0)
-        lp, d, g = self.log_probs(h[there], y.ravel()[there], True)
-        x_h = h[:, :w]
-        dh = np.zeros((len(h), w), np.float32)
-        dh[there] = d[:, :w]
-        dh *= 1 - x_h * x_h
-        g["a"], g["b"] = o.T @ dh, dh.sum(0)
+        _, dh, g = self.log_probs(h, y.ravel()[there], True, there)
+        last *= last
+        dh *= np.subtract(1, last, out=last)
+        g["a"], g["b"] = outer(o, dh), np.ones(len(dh), np.float32) @ dh
         do = dh @ self.a.T
         inner = (do * o) @ np.ones((w, 1), np.float32)
         do3 = do.reshape(n, BLOCK, w)
-        ds = do3 @ v.transpose(0, 2, 1)
+        ds = do3 @ np.ascontiguousarray(v.transpose(0, 2, 1))
         s2, ds2 = s.reshape(-1, 2 * BLOCK), ds.reshape(-1, 2 * BLOCK)
         s2 *= over
         ds2 -= inner
         ds2 *= s2
         g["place"] = ds.sum(0)
-        drows = np.zeros_like(rows).reshape(-1, BLOCK, 4 * w)
-        early, late = (drows[:-1], drows[1:]) if len(drows) == n + 1 else (drows[::2], drows[1::2])
+        drows = np.empty_like(rows).reshape(-1, BLOCK, 4 * w)
+        run = len(drows) == n + 1
+        early, late = (drows[:-1], drows[1:]) if run else (drows[::2], drows[1::2])
+        (drows[:1] if run else early)[:] = 0  # blocks that are no window's last
         dkv = np.empty((n, 2 * BLOCK, 2 * w), np.float32)
         np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :w])
         np.matmul(s.transpose(0, 2, 1), do3, out=dkv[:, :, w:])
-        early[:, :, w : 3 * w] = dkv[:, :BLOCK]
-        late[:, :, w : 3 * w] += dkv[:, BLOCK:]
-        late[:, :, :w] = ds @ k
+        late[:, :, w : 3 * w] = dkv[:, BLOCK:]
+        early[:, :, w : 3 * w] += dkv[:, :BLOCK]
+        np.matmul(ds, k, out=late[:, :, :w])
         late[:, :, 3 * w :] = dh.reshape(n, BLOCK, w)
-        dt = drows.reshape(-1, 4 * w)
-        dt[:, :w] *= np.float32(1 / math.sqrt(w))
-        who = x.ravel()
-        g["proj"] = e.take(who, 0).T @ dt
-        for name, a in g.items():
-            out[name] += a
-        return who[:, None] * w + np.arange(w, dtype=who.dtype), dt @ self.proj.T
+        dt, who, scale = drows.reshape(-1, 4 * w), x.ravel(), np.ones(4 * w, np.float32)
+        scale[:w] = 1 / math.sqrt(w)  # of queries
+        g["proj"] = outer(e.take(who, 0), dt) * scale
+        return g, who, (self.proj * scale) @ dt.T
+
+    @staticmethod
+    def by_row(who: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
+        """The sums of all parts of each of n rows."""
+        return np.stack([np.bincount(who, p, n) for p in parts], 1)
 
     def total_gradient(self, blocks: Blocks, grad: np.ndarray) -> int:
         """Add the gradient of all targets of the blocks to a flat one; gives how many there are."""
-        out, t, held, end = self.parts(grad), self.tables(self.e), [], self.vocabulary.inputs[-1]
+        out, t, end = self.parts(grad), self.tables(self.e), self.vocabulary.inputs[-1]
         for i in range(0, len(blocks.x), BLOCKS_AT_ONCE):
-            held.append(self.gradient(*blocks.run(i, min(len(blocks.x), i + BLOCKS_AT_ONCE), end), self.e, t, out))
-            if len(held) == 32 or i + BLOCKS_AT_ONCE >= len(blocks.x):
-                places, parts = (np.concatenate(x).ravel() for x in zip(*held, strict=True))
-                out["e"] += np.bincount(places, parts, self.e.size).reshape(self.e.shape)
-                held = []
+            g, who, parts = self.gradient(*blocks.run(i, min(len(blocks.x), i + BLOCKS_AT_ONCE), end), self.e, t)
+            for name, a in g.items():
+                out[name] += a
+            out["e"] += self.by_row(who, parts, len(self.e))
         return int((blocks.y >= 0).sum())
 
     def step(self, grad: np.ndarray, rate: float) -> None:
@@ -260,21 +268,37 @@ class Model:
     def train(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rate: float) -> int:
         """A step of Adam on the mean log loss of some windows; gives how many targets they have. Input rows that aren't there stay as they are, and so do their moments."""
         n, tail = int((y >= 0).sum()), self.e.size
-        used, x2 = np.unique(x, return_inverse=True)
-        e, grad = self.e[used], np.zeros(self.length, np.float32)
-        places, parts = self.gradient(x2.reshape(x.shape), y, first, e, self.tables(e), self.parts(grad))
-        own = np.bincount(places.ravel(), parts.ravel(), e.size).reshape(e.shape).astype(np.float32)
+        self.there[x] = True
+        used = np.flatnonzero(self.there)
+        self.there[used] = False
+        self.number[used] = np.arange(len(used))
+        e = self.e.take(used, 0)
+        g, who, parts = self.gradient(self.number[x], y, first, e, self.tables(e))
         self.steps += 1
         self.shown[used] += 1
         m, s = (a[:tail].reshape(self.e.shape) for a in (self.m, self.s))
-        rest = (slice(None), grad[tail:], self.flat[tail:], self.m[tail:], self.s[tail:], np.float32(self.steps))
-        for at, g, weights, m, s, t in ((used, own, self.e, m, s, self.shown[used][:, None]), rest):
-            g = g / np.float32(max(1, n))
-            m[at] = a = np.float32(0.9) * m[at] + np.float32(0.1) * g
-            s[at] = b = np.float32(0.99) * s[at] + np.float32(0.01) * g * g
-            weights[at] -= np.float32(rate) * (a / (1 - np.float32(0.9) ** t)) / (np.sqrt(b / (1 - np.float32(0.99) ** t)) + np.float32(1e-8))
+        own, rest = self.by_row(who, parts, len(e)).astype(np.float32), np.concatenate([g[name].ravel() for name in self.shapes if name != "e"])
+        a, b = m.take(used, 0), s.take(used, 0)
+        e -= self.moved(own, a, b, self.shown[used][:, None], n, rate)
+        self.e[used], m[used], s[used] = e, a, b
+        self.flat[tail:] -= self.moved(rest, self.m[tail:], self.s[tail:], np.float32(self.steps), n, rate)
         return n
 
+    @staticmethod
+    def moved(g: np.ndarray, m: np.ndarray, s: np.ndarray, steps, n: int, rate: float) -> np.ndarray:
+        """What Adam takes from weights whose loss, summed over n targets, has the gradient g (which is overwritten); the moments m and s are brought up to this step."""
+        g *= np.float32(0.1 / max(1, n))
+        m *= np.float32(0.9)
+        m += g
+        g *= g  # a hundredth of the mean gradient's square
+        s *= np.float32(0.99)
+        s += g
+        np.divide(s, 1 - np.float32(0.99) ** steps, out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        g *= (1 - np.float32(0.9) ** steps) / np.float32(rate)
+        return np.divide(m, g, out=g)
+
     def learn(self, blocks: Blocks, rate: float) -> int:
         """Steps on all blocks, about BLOCKS_A_STEP that follow each other at a time; gives how many targets they have."""
         many = -(-len(blocks.x) // BLOCKS_A_STEP)
@@ -291,6 +315,6 @@ class Model:
             y = y.ravel()
             at = np.flatnonzero(y >= 0)
             lp = np.zeros(len(y))
-            lp[at] = self.log_probs(h[at], y[at]) + self.vocabulary.within[y[at]]
+            lp[at] = self.log_probs(h, y[at], there=at) + self.vocabulary.within[y[at]]
             out += np.bincount(blocks.owner[i:j], lp.reshape(-1, BLOCK).sum(1), texts)
         return out / math.log(10)

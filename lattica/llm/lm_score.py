@@ -130,6 +130,15 @@ def with_units(encoder, words: pa.DictionaryArray, n: np.ndarray, unit: np.ndarr
     return spread(ids, many, words.indices.to_numpy(), n)
 
 
+def places(words: pa.Array, names: pa.Array) -> np.ndarray:
+    """Where each of distinct words stands among distinct names, or -1. Arrow makes its table of the words, a batch's, which are fewer than the names."""
+    word = pc.fill_null(pc.index_in(names, words), -1).to_numpy()
+    there = np.flatnonzero(word >= 0)
+    out = np.full(len(words), -1)
+    out[word[there]] = there
+    return out
+
+
 def _row_batches(path: str, frequent, units: int, total: float, rounds: int):
     """Of each document a row with its ids, and what frequent words make of its baseline; of each other word it has a row with how often."""
 
@@ -143,7 +152,7 @@ def _row_batches(path: str, frequent, units: int, total: float, rounds: int):
         logs = np.log10((c + 1) / total)
         for b in evenly(batches, 2, BYTES_AT_ONCE):
             words, n = split_words(b.column(2), lower=True)
-            place = pc.fill_null(pc.index_in(words.dictionary.cast(pa.binary()), names), -1).to_numpy()
+            place = places(words.dictionary.cast(pa.binary()), names)
             ids, size = with_units(encoder, words, n, np.where(place < units, place, -1))
             data, ends = memoryview(ids.astype(kind)).cast("B"), np.cumsum(size) * np.dtype(kind).itemsize
             parts = [bytes(data[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]

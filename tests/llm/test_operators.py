@@ -650,6 +650,46 @@ def test_steps_lower_the_loss_and_equal_the_total_gradient():
     assert np.abs(a.m - b.m).max() < 1e-5 * max(1, np.abs(a.m).max()) + 1e-6
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_softmax_takes_exponentials_of_the_targets_levels_and_no_others(monkeypatch, back):
+    m, sizes, own = some_model(), [], np.exp
+    h = np.append(np.random.default_rng(1).normal(size=(300, attention.WIDTH)), np.ones((300, 1)), 1).astype(np.float32)
+    y = np.random.default_rng(2).integers(0, 600, 300)
+    monkeypatch.setattr(np, "exp", lambda x, *a, **b: (sizes.append(x.size), own(x, *a, **b))[1])
+    m.log_probs(h, y, back)
+    assert sum(sizes) == 300 * 3 * attention.FAN
+
+
+def test_gradients_of_rows_without_a_target_are_zero_and_others_as_if_alone():
+    m, there = some_model(), np.array([1, 2, 5, 9, 10])
+    h = np.append(np.random.default_rng(1).normal(size=(12, attention.WIDTH)), np.ones((12, 1)), 1).astype(np.float32)
+    y = np.array([3, 599, 3, 600, 41])
+    some, alone = m.log_probs(h, y, True, there), m.log_probs(h[there], y, True)
+    assert some[0] == pytest.approx(alone[0], rel=1e-5) and some[1][there] == pytest.approx(alone[1], rel=1e-5, abs=1e-6)
+    assert not np.delete(some[1], there, 0).any()
+    assert all(some[2][k] == pytest.approx(alone[2][k], rel=1e-5, abs=1e-6) for k in ("u0", "u1", "u2"))
+
+
+def test_moves_are_those_of_adam():
+    rng = np.random.default_rng(0)
+    m = s = np.zeros((40, 3))
+    got_m, got_s = (np.zeros((40, 3), np.float32) for _ in range(2))
+    for t in (1, 2, 3):
+        g = rng.normal(size=(40, 3))
+        m, s = 0.9 * m + 0.1 * g / 7, 0.99 * s + 0.01 * (g / 7) ** 2
+        want = 0.04 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+        assert attention.Model.moved(g.astype(np.float32), got_m, got_s, np.float32(t), 7, 0.04) == pytest.approx(want, rel=1e-3, abs=1e-6)
+    assert got_m == pytest.approx(m, rel=1e-4, abs=1e-6) and got_s == pytest.approx(s, rel=1e-4, abs=1e-7)
+
+
+def test_places_of_words():
+    names, words = ([w.encode() for w in x] for x in (["the", "ß", "", "stone", "of"], ["stone", "other", "", "the", "漢"]))
+    want = [names.index(w) if w in names else -1 for w in words]
+    as_array = lambda x: pa.array(x, pa.binary())
+    assert lm_score.places(as_array(words), as_array(names)).tolist() == want
+    assert lm_score.places(as_array(words), as_array([])).tolist() == [-1] * 5 and lm_score.places(as_array([]), as_array(names)).tolist() == []
+
+
 def test_every_window_of_every_training_document_is_trained_on_whatever_the_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "START_STEPS", 20)
     monkeypatch.setattr(lm_score, "FREQUENT", 40)
